@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import decontaminate, fertility, langid, line_dedup, mixing
 
 QUERIES = {
     "op1_mix_to_targets": mixing.query,
     "op2_line_dedup": line_dedup.query,
+    "op3_fertility_rules": fertility.query,
+    "op4_language_id": langid.query,
+    "op7_decontaminate": decontaminate.query,
 }
 
 ORACLE_SQL = {
