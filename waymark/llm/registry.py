@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fertility, langid, line_dedup, mixing
+from . import decontaminate, fertility, jaccard, langid, line_dedup, mixing
 
 QUERIES = {
     "op1_mix_to_targets": mixing.query,
     "op2_line_dedup": line_dedup.query,
     "op3_fertility_rules": fertility.query,
     "op4_language_id": langid.query,
+    "op6_jaccard_components": jaccard.query,
     "op7_decontaminate": decontaminate.query,
 }
 
 ORACLE_SQL = {
     "op1_mix_to_targets": mixing.SQL,
     "op2_line_dedup": line_dedup.SQL,
+    "op6_jaccard_components": jaccard.SQL,
 }
