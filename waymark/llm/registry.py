@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fertility, jaccard, langid, line_dedup, mixing
+from . import chat, decontaminate, fertility, jaccard, langid, line_dedup, mixing, url_filter, warc
 
 QUERIES = {
     "op1_mix_to_targets": mixing.query,
@@ -11,6 +11,9 @@ QUERIES = {
     "op4_language_id": langid.query,
     "op6_jaccard_components": jaccard.query,
     "op7_decontaminate": decontaminate.query,
+    "op8_url_filter": url_filter.query,
+    "op9_warc_round_trip": warc.query,
+    "op10_quotation_linking": chat.query,
 }
 
 ORACLE_SQL = {
