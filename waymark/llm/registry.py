@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fertility, jaccard, langid, line_dedup, mixing, url_filter, warc
+from . import chat, decontaminate, fertility, jaccard, langid, line_dedup, mixing, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op1_mix_to_targets": mixing.query,
     "op2_line_dedup": line_dedup.query,
     "op3_fertility_rules": fertility.query,
     "op4_language_id": langid.query,
+    "op5_suffix_dedup": suffix_dedup.query,
     "op6_jaccard_components": jaccard.query,
     "op7_decontaminate": decontaminate.query,
     "op8_url_filter": url_filter.query,
