@@ -59,9 +59,6 @@ def present(text: str) -> np.ndarray:
 def fit(rows: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
     """Languages and weights (features x languages) of the one-versus-rest kernel ridge regression."""
     langs = sorted(set(labels))
-    x = np.zeros((len(rows), 1 << BITS), dtype=np.float32)
-    for i, r in enumerate(rows):
-        x[i, r] = 1.0 / np.sqrt(max(len(r), 1))
     y = np.array([[float(a == b) for b in langs] for a in labels])
     # Landmarks: the rows of each language in turn.
     rank = {}
@@ -69,9 +66,16 @@ def fit(rows: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, r
     for i in range(len(rows)):
         rank[i] = seen[labels[i]] = seen.get(labels[i], -1) + 1
     order = sorted(range(len(rows)), key=lambda i: (rank[i], i))[:landmarks]
-    lm = x[order]
+
+    def dense(part: list[np.ndarray]) -> np.ndarray:
+        x = np.zeros((len(part), 1 << BITS), dtype=np.float32)
+        for i, r in enumerate(part):
+            x[i, r] = 1.0 / np.sqrt(max(len(r), 1))
+        return x
+
+    lm = dense([rows[i] for i in order])
     k_mm = (lm @ lm.T).astype(np.float64)
-    k_nm = (x @ lm.T).astype(np.float64)
+    k_nm = np.concatenate([dense(rows[i : i + 128]) @ lm.T for i in range(0, len(rows), 128)]).astype(np.float64)
     values, vectors = np.linalg.eigh(k_mm)
     root = vectors * (np.maximum(values, 1e-6) ** -0.5)
     phi = k_nm @ root
