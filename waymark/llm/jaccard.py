@@ -8,9 +8,11 @@ Exact similarity join of the documents' word-shingle sets: two documents link wh
 2. Index lists. A pair within the threshold differs in at most k shingles, k from the sizes. The
    shingles are dealt by hash to m > k positions; the pair agrees in all of some non-empty position,
    so (size class, position, content of the position) is a complete key. Lists of different size
-   classes or positions never meet: these blocks are skipped whole. A list's least class leads it.
-3. Answers of the leader. Every member is compared with the leaders of its lists only, and the
-   difference from the leader is kept.
+   classes or positions never meet: these blocks are skipped whole.
+3. Short lists (up to SHORT classes) give their pairs. A pair is skipped when the bit sketches of the
+   two sets (each shingle flips one bit, so they differ in no more bits than the sets in shingles)
+   differ too much. A longer list is led by its least class: every member is compared with the
+   leaders of its lists only, and the difference from the leader is kept.
 4. Derived answers. For members x, y of a leader L with differences Dx, Dy (of which mx, my shingles
    are missing from L) and c common ones, |x & y| = |L| - mx - my + c: the sets themselves are not
    needed any more. Without a common difference, x and y can only link if both link with L, and so
@@ -32,6 +34,7 @@ collision stops the job).
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +48,8 @@ from .wordhash import BLOCK, batches_of, hash_words, mix, shingle
 
 WORDS, PERCENT = 3, 90
 FAMILY = 4096
+#: Lists up to this many entries give all their pairs. Equal sets that a task remembers.
+SHORT, SEEN = 12, 100_000
 #: Ratio of a size class's ends.
 RATIO = 1.5
 
@@ -72,16 +77,27 @@ class Scheme:
         while self.ends[-1] < 1 << 40:
             self.ends.append(max(self.ends[-1] + 1, int(self.ends[-1] * RATIO), -(-self.ends[-1] * 100 // percent) + 1))
         self.bounds = np.array(self.ends)
+        self.known: dict[int, tuple[int, int]] = {}
 
     def differences(self, g: int) -> int:
         """The most shingles in which a pair can differ whose larger set is in class g."""
         return 2 * (self.ends[g + 1] - 1) * (100 - self.percent) // (100 + self.percent)
 
     def positions(self, g: int) -> tuple[int, int]:
-        """Positions, and how many of them may be empty without an empty one being a key."""
+        """Positions, and how many of them may be empty without an empty one being a key: as many as
+        the smallest sets of the class leave empty, with a margin."""
         k = self.differences(g)
-        spare = 1 + (k + 1) // 150 if k else 0
-        return k + 1 + spare, spare
+        if g not in self.known:
+            m = spare = k + 1
+            least = max(self.ends[g] * self.percent // 100, 1)
+            for _ in range(20):
+                empty = m * math.exp(-least / m)
+                spare = math.ceil(empty + 3 * math.sqrt(empty)) + 1
+                if k + 1 + spare == m:
+                    break
+                m = k + 1 + spare
+            self.known[g] = m, m - k - 1
+        return self.known[g]
 
     def keys(self, s: np.ndarray) -> np.ndarray:
         n = len(s)
@@ -109,60 +125,111 @@ def class_of(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
-def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, cls, chk, keys); cls is null for an empty set."""
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity bits of a set, as 64-bit words: a power of two of bits, at least the set's size. Halves
+    of a sketch folded by exclusive or give the sketch of half the length."""
+    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    where, odd = np.unique(mix(s ^ np.uint64(0x3C3C3C3C)) % np.uint64(bits), return_counts=True)
+    where = where[odd % 2 == 1]
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    np.bitwise_or.at(out, (where >> np.uint64(6)).astype(np.int64), np.uint64(1) << (where & np.uint64(63)))
+    return out
+
+
+def profiles(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, cls, chk, bits); cls is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme = Scheme(percent)
         for b in batches:
-            n, cls, chk, keys, at = [], [], [], [], [0]
+            n, cls, chk, bits, at = [], [], [], [], [0]
             for s in sets_of(b.column(1).to_pylist(), k):
                 n.append(len(s))
                 c = class_of(s) if len(s) else (None, None)
                 cls.append(c[0])
                 chk.append(c[1])
-                keys.append(scheme.keys(s) if len(s) else s)
-                at.append(at[-1] + len(keys[-1]))
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+                bits.append(sketch(s))
+                at.append(at[-1] + len(bits[-1]))
+            flat = np.concatenate(bits) if bits else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(chk, pa.int64()), lists],
-                names=["doc_id", "n", "cls", "chk", "keys"],
+                names=["doc_id", "n", "cls", "chk", "bits"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n long, cls long, chk long, keys array<long>"
+        run, "doc_id long, n long, cls long, chk long, bits array<long>"
     )
 
 
+def index_entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(key, cls): the index lists' entries; a task tells equal sets once (the last SEEN of them)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme = Scheme(percent)
+        seen: dict[int, None] = {}
+        for b in batches:
+            keys, cls = [], []
+            for s in sets_of(b.column(0).to_pylist(), k):
+                c = class_of(s)[0] if len(s) else None
+                if c is None or c in seen:
+                    continue
+                seen[c] = None
+                if len(seen) > SEEN:
+                    seen.pop(next(iter(seen)))
+                keys.append(scheme.keys(s))
+                cls.append(c)
+            sizes = [len(x) for x in keys]
+            if sum(sizes):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(cls, np.int64), sizes))],
+                    names=["key", "cls"],
+                )
+
+    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "key long, cls long")
+
+
+def _near_sketches(a: str, b: str, na: str, nb: str, percent: int) -> F.Column:
+    """Whether two sketches leave the pair a chance; the longer one is folded once if need be."""
+    fold = lambda x: F.zip_with(
+        F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")),
+        F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    x = F.when(F.size(a) > F.size(b), fold(F.col(a))).otherwise(F.col(a))
+    y = F.when(F.size(b) > F.size(a), fold(F.col(b))).otherwise(F.col(b))
+    differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    most = (F.col(na) + F.col(nb)) * (100 - percent) / (100 + percent)
+    sizes = (F.col(na) * percent <= F.col(nb) * 100) & (F.col(nb) * percent <= F.col(na) * 100)
+    return sizes & (F.abs(F.log2(F.size(a)) - F.log2(F.size(b))) < 1.5) & (differ <= most)
+
+
 def _linked(inter: int, union: int, percent: int) -> bool:
     return 100 * inter >= percent * union
 
 
 def compare_with_leader(rows: DataFrame, percent: int) -> DataFrame:
-    """rows (leader, cls, lead binary, own binary) to (leader, cls, linked, size, missing, delta)."""
+    """rows (leader, cls, lead binary, own binary, family) to (leader, cls, linked, size, missing,
+    delta, family); only in families are the differences kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             linked, size, missing, delta, at = [], [], [], [], [0]
-            for lead, own in zip(b.column(2), b.column(3), strict=True):
+            for lead, own, family in zip(b.column(2), b.column(3), b.column(4).to_pylist(), strict=True):
                 x, y = np.frombuffer(lead.as_py(), np.uint64), np.frombuffer(own.as_py(), np.uint64)
                 diff = np.setxor1d(x, y, assume_unique=True)
                 inter = (len(x) + len(y) - len(diff)) // 2
                 linked.append(_linked(inter, inter + len(diff), percent))
                 size.append(len(x))
                 missing.append(len(x) - inter)
-                delta.append(diff)
-                at.append(at[-1] + len(diff))
+                delta.append(diff if family else diff[:0])
+                at.append(at[-1] + len(delta[-1]))
             flat = np.concatenate(delta) if delta else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(missing, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))],
-                names=["leader", "cls", "linked", "size", "missing", "delta"],
+                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64))), b.column(4)],
+                names=["leader", "cls", "linked", "size", "missing", "delta", "family"],
             )
 
-    return rows.select("leader", "cls", "lead", "own").mapInArrow(
-        run, "leader long, cls long, linked boolean, size long, missing long, delta array<long>"
+    return rows.select("leader", "cls", "lead", "own", "family").mapInArrow(
+        run, "leader long, cls long, linked boolean, size long, missing long, delta array<long>, family boolean"
     )
 
 
@@ -245,26 +312,35 @@ def _derived_links(compared: DataFrame, percent: int, family: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, family: int = FAMILY) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    prof = materialise(profiles(docs, k, percent))
+    prof = materialise(profiles(docs, k))
     sound = prof.where("cls IS NOT NULL AND doc_id IS NOT NULL")
-    grouped = sound.groupBy("cls").agg(
-        F.min("doc_id").alias("rep"), F.min("chk").alias("c0"), F.max("chk").alias("c1"), F.first("keys").alias("keys")
-    )
-    classes = grouped.select(
-        "cls", "rep", "keys", F.assert_true(F.col("c0") == F.col("c1"), F.lit("two sets share a 64-bit class")).alias("ok")
-    ).where("ok IS NULL")
+    classes = materialise(
+        sound.groupBy("cls").agg(
+            F.min("doc_id").alias("rep"), F.min("chk").alias("c0"), F.max("chk").alias("c1"),
+            F.first("n").alias("n"), F.first("bits").alias("bits"),
+        )
+    )
+    if classes.where("c0 != c1").limit(1).count():
+        raise ValueError("two sets share a 64-bit class")
 
-    # Index lists with two classes or more; each key goes over the network once, for both uses.
-    entries = classes.select(F.explode("keys").alias("key"), "cls", "rep")
+    # Index lists with two classes or more; each entry goes over the network once, for all uses.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = entries.repartition(n, "key")
-    leaders = entries.groupBy("key").agg(F.min(F.struct("cls", "rep")).alias("l"), F.max("cls").alias("m")).where("l.cls < m")
-    pairs = materialise(
-        entries.join(leaders.select("key", F.col("l.cls").alias("leader"), F.col("l.rep").alias("lead_rep")), "key")
-        .where("cls != leader")
-        .groupBy("leader", "cls")
-        .agg(F.first("rep").alias("rep"), F.first("lead_rep").alias("lead_rep"))
+    entries = index_entries(docs, k, percent).repartition(n, "key")
+    lists = entries.groupBy("key").agg(F.min("cls").alias("leader"), F.max("cls").alias("m"), F.count("*").alias("c")).where("leader < m")
+    members = entries.join(lists.select("key", "leader", "c"), "key")
+    short = members.where(F.col("c") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_set("cls")).alias("s"))
+    twos = F.flatten(F.transform("s", lambda x: F.transform(F.filter("s", lambda y: y > x), lambda y: F.struct(x.alias("leader"), y.alias("cls")))))
+    cand = short.select(F.explode(twos).alias("p")).select("p.leader", "p.cls", F.lit(False).alias("family")).unionByName(
+        members.where((F.col("c") > SHORT) & (F.col("cls") != F.col("leader"))).select("leader", "cls", F.lit(True).alias("family"))
     )
+    cand = materialise(cand.groupBy("leader", "cls").agg(F.max("family").alias("family")))
+    own = classes.select("cls", "rep", F.col("n").alias("n1"), F.col("bits").alias("b1"))
+    lead = classes.select(F.col("cls").alias("leader"), F.col("rep").alias("lead_rep"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
+    pairs = materialise(
+        cand.join(own, "cls").join(lead, "leader")
+        .where(F.col("family") | _near_sketches("b1", "b2", "n1", "n2", percent))
+        .select("leader", "cls", "family", "rep", "lead_rep")
+    )
 
     # The sets of the classes in question, made again from the texts.
     wanted = materialise(
@@ -282,13 +358,13 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     sets = materialise(texts.mapInArrow(make, "cls long, own binary"))
     lead = sets.select(F.col("cls").alias("leader"), F.col("own").alias("lead"))
     compared = materialise(
-        compare_with_leader(pairs.select("leader", "cls").join(sets, "cls").join(lead, "leader"), percent)
+        compare_with_leader(pairs.select("leader", "cls", "family").join(sets, "cls").join(lead, "leader"), percent)
     )
     links = compared.where("linked").select(F.col("leader").alias("a"), F.col("cls").alias("b"))
-    links = materialise(links.union(_derived_links(compared, percent, family)))
+    links = materialise(links.union(_derived_links(compared.where("family"), percent, family)))
 
     comps = connected_components(links)
-    reps = sound.groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    reps = classes.select("cls", "rep")
     found = reps.join(comps, reps["cls"] == comps["node"]).select("cls", "rep", "comp")
     least = found.groupBy("comp").agg(F.min("rep").alias("__component"))
     merged = found.join(least, "comp").select("cls", "__component")
