@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: a one-element array binds it for the lambda, so
+    that an expression that uses it often stays small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def slug(text: Column, max_words: int = 8) -> Column:
     """Lower-case words joined by hyphens; 'item' for a text without any."""
     words = F.slice(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)), 1, max_words)
@@ -15,11 +21,9 @@ def slug(text: Column, max_words: int = 8) -> Column:
 def norm_url(url: Column) -> Column:
     """A literal URL path for matching: cut at the first ?, ${ or {; trailing slashes dropped; a
     numeric last part becomes {id}. Null unless it starts with / and has at most 400 characters."""
-    u = F.regexp_replace(url, r"(?s)(\?|\$\{|\{).*$", "")
-    u = F.when(u.startswith("/"), u)
-    u = F.when(F.length(F.rtrim(F.lit("/"), u)) > 0, F.rtrim(F.lit("/"), u)).otherwise(u.substr(1, 1))
-    u = F.regexp_replace(u, r"/\d+$", "/{id}")
-    return F.when(F.length(u) <= 400, u)
+    bare = lambda u: F.when(u.startswith("/"), F.coalesce(F.nullif(F.rtrim(u, F.lit("/")), F.lit("")), F.lit("/")))
+    path = let(F.regexp_replace(url, r"(?s)(\?|\$\{|\{).*$", ""), bare)
+    return let(F.regexp_replace(path, r"/\d+$", "/{id}"), lambda u: F.when(F.length(u) <= 400, u))
 
 
 def method_path(name: Column) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark import schema as S
+from waymark.functions.text import let
 from waymark.operators.build import first_wins, last_wins, resolved_edges, union_all
+from waymark.plans.lineage import cut
 
 
 def kinds(nodes: DataFrame) -> DataFrame:
@@ -134,39 +136,48 @@ FOLD_BY_KIND = {
 
 
 def _dotted_area(value: Column) -> Column:
-    segs = F.split(F.replace(value, F.lit("/"), F.lit(".")), "[.]")
-    segs = F.when(F.lower(F.get(segs, F.lit(0))).isin(*ROOTS), F.slice(segs, 2, F.greatest(F.size(segs) - 1, F.lit(0)))).otherwise(segs)
-    segs = F.filter(segs, lambda s: s != "")
-    return F.when((value != "") & (F.size(segs) > 0), F.array_join(F.slice(segs, 1, 2), "."))
+    """The first two parts of a dotted or slashed name, without one leading root part."""
+
+    def area(segs: Column) -> Column:
+        rooted = F.lower(F.get(segs, F.lit(0))).isin(*ROOTS)
+        return F.slice(segs, F.when(rooted, 2).otherwise(1), F.greatest(F.size(segs), F.lit(1)))
+
+    segs = let(F.split(F.replace(value, F.lit("/"), F.lit(".")), "[.]"), area)
+    return F.nullif(F.array_join(F.slice(F.filter(segs, lambda s: s != ""), 1, 2), "."), F.lit(""))
+
+
+def _path_area(file: Column) -> Column:
+    """The folder of a plain last part, else the first part, after the scaffold parts are stripped."""
+
+    def stripped(parts: Column) -> Column:
+        n = F.size(parts)
+        # Leading scaffold parts go while one part remains.
+        lead = F.aggregate(
+            parts, F.lit(0),
+            lambda k, p: F.when((k >= 0) & p.isin(*SCAFFOLD), k + 1).when(k >= 0, -k - 1).otherwise(k),
+            lambda k: F.when(k < 0, -k - 1).otherwise(k),
+        )
+        return F.slice(parts, F.least(lead, F.greatest(n - 1, F.lit(0))) + 1, F.greatest(n, F.lit(1)))
+
+    def pick(rest: Column) -> Column:
+        last, first = F.element_at(rest, -1), F.get(rest, F.lit(0))
+        return F.when(F.size(rest) >= 2, F.when(last.contains("."), first).otherwise(F.element_at(rest, -2))).when(
+            F.size(rest) == 1, F.substring_index(first, ".", 1)
+        )
+
+    parts = F.filter(F.split(F.coalesce(file, F.lit("")), "/"), lambda p: (p != "") & (p != "."))
+    return let(F.filter(let(parts, stripped), lambda p: ~p.isin(*NOISE)), pick)
 
 
 def group_of() -> Column:
     """Architecture area: dotted id, package, namespace, else the source path, else the kind."""
     tail = F.substring_index(F.substring_index("id", ":", -1), "#", 1)
-    head = F.regexp_replace(tail, r"\.[^.]*$", "")
-    by_id = F.when(F.col("id").contains(":") & tail.contains("."), _dotted_area(head))
-    parts = F.filter(F.split(F.coalesce("file", F.lit("")), "/"), lambda p: (p != "") & (p != "."))
-    n = F.size(parts)
-    # How many leading scaffold parts go; one part always stays for this step.
-    lead = F.aggregate(
-        parts, F.struct(F.lit(0).alias("k"), F.lit(True).alias("on")),
-        lambda a, p: F.struct(
-            (a["k"] + F.when(a["on"] & p.isin(*SCAFFOLD) & (a["k"] < n - 1), 1).otherwise(0)).alias("k"),
-            (a["on"] & p.isin(*SCAFFOLD)).alias("on"),
-        ),
-        lambda a: a["k"],
-    )
-    rest = F.filter(F.slice(parts, lead + 1, F.greatest(n - lead, F.lit(0))), lambda p: ~p.isin(*NOISE))
-    last, first = F.element_at(rest, -1), F.get(rest, F.lit(0))
-    by_path = F.when(F.size(rest) >= 2, F.when(last.contains("."), first).otherwise(F.element_at(rest, -2))).when(
-        F.size(rest) == 1, F.substring_index(first, ".", 1)
-    )
-    # With two parts or more the area is the folder of a plain last part, else the first part.
+    by_id = F.when(F.col("id").contains(":"), let(tail, lambda t: F.when(t.contains("."), _dotted_area(F.regexp_replace(t, r"\.[^.]*$", "")))))
     by_kind = (
         F.when(F.col("kind").isin(*S.ENTRY_KINDS), "endpoints").when(F.col("kind").isin(*S.DATA_KINDS), "data")
         .when(F.col("kind") == "external-service", "external").otherwise("misc")
     )
-    return F.coalesce(by_id, _dotted_area(F.coalesce("package", F.lit(""))), by_path, by_kind)
+    return F.coalesce(by_id, _dotted_area(F.coalesce("package", F.lit(""))), _path_area(F.col("file")), by_kind)
 
 
 def view_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -192,9 +203,9 @@ def capped_view_edges(edges: DataFrame, nodes: DataFrame, cap: int = 1200) -> Da
 def group_table(nodes: DataFrame, edges: DataFrame, least: int = 4, groups: int = 60) -> DataFrame:
     """(id, area) of the view's nodes; areas below ``least`` nodes, numeric or empty ones fold into
     kind buckets; only the ``groups`` largest areas stay."""
-    v = capped_view_edges(edges, nodes)
+    v = cut(capped_view_edges(edges, nodes))
     touched = v.select(F.col("src").alias("id")).unionAll(v.select(F.col("dst").alias("id"))).distinct()
-    own = nodes.join(touched, "id", "left_semi").withColumn("area", group_of())
+    own = cut(nodes.join(touched, "id", "left_semi").withColumn("area", group_of()).select("id", "kind", "confidence", "area"))
     sizes = own.groupBy(F.col("area").alias("__a")).agg(F.count("*").alias("__n"))
     fold = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in FOLD_BY_KIND.items() for x in kv]), F.col("kind")), F.lit("misc"))
     folded = own.join(sizes, F.col("area") == F.col("__a")).withColumn(

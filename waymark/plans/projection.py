@@ -91,7 +91,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows(access, 6, named("supplier:", c("l_suppkey")), named("table:part_", c("l_partkey")), F.when(c("w"), "writes").otherwise("reads"), "lineitem", c("n"),
              (c("l_suppkey") * 10_000_000 + c("l_partkey")) * 2 + F.when(c("w"), 1).otherwise(0), "MEDIUM"),
         rows(t("events").select("user_id", "event_type").distinct(), 7, named("user:", c("user_id")), named("topic:", c("event_type")), "publishes", "events", F.lit(1),
-             c("user_id") * 100 + F.length("event_type"), "MEDIUM"),
+             c("user_id") * 100_000 + F.ascii("event_type") * 300 + F.ascii(F.substring("event_type", -2, 2)), "MEDIUM"),
         first_wins(
             rows(hrefs(t("pages")), 8, c("src"), F.concat(F.lit("unresolved:component:"), c("href")), "navigates", "pages", c("page_id") + 1, c("page_id") * 10_000 + c("pos"), "HIGH"),
             ["src", "dst", "type"], "edge_seq"),
@@ -133,7 +133,7 @@ nodes AS (
   UNION ALL SELECT 'supplier:' || l_suppkey, 'table:part_' || l_partkey, CASE WHEN w THEN 'writes' ELSE 'reads' END, 'lineitem', min(l_linenumber)::INT, 'MEDIUM', 'derived',
          {6 * _STEP} + (l_suppkey * 10000000 + l_partkey) * 2 + CASE WHEN w THEN 1 ELSE 0 END
          FROM (SELECT *, l_returnflag = 'R' AS w FROM lineitem) GROUP BY l_suppkey, l_partkey, w
-  UNION ALL SELECT DISTINCT 'user:' || user_id, 'topic:' || event_type, 'publishes', 'events', 1, 'MEDIUM', 'derived', {7 * _STEP} + user_id * 100 + length(event_type) FROM events
+  UNION ALL SELECT DISTINCT 'user:' || user_id, 'topic:' || event_type, 'publishes', 'events', 1, 'MEDIUM', 'derived', {7 * _STEP} + user_id * 100000 + ascii(event_type) * 300 + ascii(event_type[-2:]) FROM events
   UNION ALL SELECT src, 'unresolved:component:' || href, 'navigates', 'pages', (page_id + 1)::INT, 'HIGH', 'derived', {8 * _STEP} + page_id * 10000 + pos
          FROM raw_links QUALIFY row_number() OVER (PARTITION BY src, href ORDER BY page_id, pos) = 1
 )"""

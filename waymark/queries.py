@@ -30,8 +30,16 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+_stores: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return projection.nodes(spark, sf_dir), projection.edges(spark, sf_dir)
+    """The persisted graph: built and written once per application and input, then read. Queries
+    that touch one column only project the source tables instead."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        _stores[key] = cut(projection.nodes(spark, sf_dir)), cut(projection.edges(spark, sf_dir))
+    return _stores[key]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,7 +94,7 @@ t AS (SELECT area, lang, string_agg(name, '|' ORDER BY name) AS names FROM (
   SELECT *, row_number() OVER (PARTITION BY area, lang ORDER BY name) AS k FROM (SELECT DISTINCT * FROM r)) WHERE k <= 8 GROUP BY ALL)
 SELECT r.area, r.lang, count(*) AS n, any_value(t.names) AS names FROM r JOIN t ON r.area = t.area AND r.lang = t.lang GROUP BY r.area, r.lang""")
 def modules_rollup(spark, d):
-    return inventory.modules(projection.nodes(spark, d))
+    return inventory.modules(graph(spark, d)[0])
 
 
 @register(f"WITH {GRAPH_SQL} SELECT id, name, kind, lang, file, line, confidence FROM nodes ORDER BY lower(name), id LIMIT 3000")
@@ -236,17 +244,17 @@ def malformed_ids(spark, d):
 
 
 @register(f"""WITH {LIVE_SQL}, u AS (SELECT DISTINCT dst AS ref FROM edges WHERE dst LIKE 'unresolved:component:%')
-SELECT 'LOW' AS severity, 'unresolved' AS category, 'unresolved reference' AS message, ref AS id, NULL::VARCHAR AS file, NULL::INT AS line FROM u
+SELECT severity, category, message, id, coalesce(file, '') AS file, coalesce(line, 0) AS line FROM (SELECT 'LOW' AS severity, 'unresolved' AS category, 'unresolved reference' AS message, ref AS id, NULL::VARCHAR AS file, NULL::INT AS line FROM u
 UNION ALL SELECT 'LOW', 'low-confidence', 'LOW-confidence node (lead, not confirmed)', id, file, line FROM nodes WHERE confidence = 'LOW'
 UNION ALL SELECT 'LOW', 'low-confidence', 'LOW-confidence edge ' || type, src, file, line FROM edges WHERE confidence = 'LOW'
 UNION ALL SELECT 'MEDIUM', 'validation', 'node without evidence', id, file, line FROM nodes WHERE file IS NULL OR file = '' OR confidence = 'UNKNOWN'
 UNION ALL SELECT 'HIGH', 'validation', 'edge with unknown dst ' || type, dst, file, line FROM flagged WHERE NOT dst_exists AND NOT placeholder
 UNION ALL SELECT 'HIGH', 'validation', 'edge with unknown src ' || type, src, file, line FROM edges WHERE src NOT IN (SELECT id FROM nodes)
-UNION ALL SELECT 'HIGH', 'validation', 'duplicate node id', id, NULL, NULL FROM nodes GROUP BY id HAVING count(*) > 1""")
+UNION ALL SELECT 'HIGH', 'validation', 'duplicate node id', id, NULL, NULL FROM nodes GROUP BY id HAVING count(*) > 1)""")
 def issues_table(spark, d):
     n, e = graph(spark, d)
     refs = e.where(F.col("dst").startswith("unresolved:component:")).select(F.col("dst").alias("ref")).distinct()
-    return validate.issues(n, e, refs)
+    return validate.issues(n, e, refs).withColumns({"line": F.coalesce("line", F.lit(0)), "file": F.coalesce("file", F.lit(""))})
 
 
 @register(f"""WITH {LIVE_SQL} SELECT 'unknown_kind' AS "check", count(*) AS n FROM nodes WHERE kind NOT IN {_in(S.NODE_KINDS)}
@@ -379,7 +387,7 @@ def flow_candidates(spark, d):
  SELECT id, kind, CASE WHEN kind = 'service' AND node_seq % 10 = 4 THEN name || ' renamed' ELSE name END AS name, file FROM nodes WHERE NOT (kind = 'service' AND node_seq % 10 = 3))
  SELECT * FROM (SELECT *, 'added' AS op FROM (SELECT * FROM new EXCEPT SELECT * FROM old) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM old EXCEPT SELECT * FROM new)) WHERE kind IN {_in(S.SIGNIFICANT_KINDS)}""")
 def snapshot_diff_nodes(spark, d):
-    old = projection.nodes(spark, d)
+    old = graph(spark, d)[0]
     key = F.col("node_seq") % 10
     new = old.where(~((F.col("kind") == "service") & (key == 3))).withColumn(
         "name", F.when((F.col("kind") == "service") & (key == 4), F.concat("name", F.lit(" renamed"))).otherwise(F.col("name"))
@@ -390,7 +398,7 @@ def snapshot_diff_nodes(spark, d):
 @register(f"""WITH {GRAPH_SQL}, old AS (SELECT src, dst, type FROM edges), new AS (SELECT src, dst, type FROM edges WHERE src <> 'nation:3')
  SELECT *, 'added' AS op FROM (SELECT * FROM new EXCEPT SELECT * FROM old) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM old EXCEPT SELECT * FROM new)""")
 def snapshot_diff_edges(spark, d):
-    old = projection.edges(spark, d)
+    old = graph(spark, d)[1]
     return validate.diff_edges(old, old.where("src != 'nation:3'"))
 
 
@@ -424,21 +432,21 @@ def document_first_wins(spark, d):
     return read(spark, d, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
 
 
-@register("""SELECT user_id, event_id, last_value(CASE WHEN event_type = 'login' OR event_type = 'view' THEN event_id END IGNORE NULLS)
- OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS scope_id FROM events""")
+@register("""SELECT user_id, event_id, coalesce(last_value(CASE WHEN event_type = 'login' OR event_type = 'view' THEN event_id END IGNORE NULLS)
+ OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS scope_id FROM events""")
 def line_locf_scope(spark, d):
     """The latest opening event at or above each event of a user."""
     e = read(spark, d, "events")
-    return scopes.enclosing(e, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type").isin("login", "view"), F.col("event_id"))).select("user_id", "event_id", F.col("scope").alias("scope_id"))
+    return scopes.enclosing(e, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type").isin("login", "view"), F.col("event_id"))).select("user_id", "event_id", F.coalesce("scope", F.lit(-1)).alias("scope_id"))
 
 
 @register("""WITH x AS (SELECT *, CASE WHEN event_type = 'click' THEN event_id END AS note, event_type = 'purchase' AS decl FROM events),
  y AS (SELECT *, coalesce(sum(decl::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM x)
- SELECT user_id, event_id, last_value(note IGNORE NULLS) OVER (PARTITION BY user_id, seg ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS note_id FROM y QUALIFY decl""")
+ SELECT user_id, event_id, coalesce(last_value(note IGNORE NULLS) OVER (PARTITION BY user_id, seg ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS note_id FROM y QUALIFY decl""")
 def forward_annotation(spark, d):
     """The latest annotation between the previous declaration and this one."""
     e = read(spark, d, "events")
-    return scopes.annotated(e, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "click", F.col("event_id")), F.col("event_type") == "purchase").select("user_id", "event_id", F.col("note").alias("note_id"))
+    return scopes.annotated(e, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "click", F.col("event_id")), F.col("event_type") == "purchase").select("user_id", "event_id", F.coalesce("note", F.lit(-1)).alias("note_id"))
 
 
 @register("""WITH s AS (SELECT l_orderkey AS k, l_linenumber * 10 AS a, l_linenumber * 10 + CAST(l_quantity AS INT) % 15 AS b FROM lineitem),
