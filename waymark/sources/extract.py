@@ -4,8 +4,8 @@ One Arrow pass turns (path, text) into emissions; a file whose extractor fails y
 and what it had emitted before, never a failed job. Emissions become nodes and edges by first-wins
 over (place of the file in the walk, place in the file).
 
-Covered so far: Python (syntax tree), SQL, Go, configuration files, and the textual fallback for
-all other languages (nothing above LOW there).
+Here: Python (syntax tree), SQL, Go, configuration files, and the textual fallback for languages
+without an extractor (nothing above LOW there). Brace languages are in braces.py.
 """
 
 from __future__ import annotations
@@ -447,13 +447,19 @@ def fallback(out: Emitter, text: str) -> None:
                 out.edge(fid, f"unresolved:table-ref:{m[1].lower()}", "references", i, "LOW", **why)
 
 
+def _load() -> None:
+    from waymark.sources import braces  # noqa: F401  registers its extractors
+
+
 def extractors_for(path: str) -> list[str]:
     """Names of the extractors that claim a path; fallback only where none does."""
+    _load()
     return [n for n, claims, _ in REGISTRY if claims(path)] or ["fallback"]
 
 
 def extract_text(path: str, text: str) -> tuple[list[dict], list[str]]:
     """(rows, errors) of one file."""
+    _load()
     out, errors = Emitter(path), []
     by_name = {n: f for n, _, f in REGISTRY} | {"fallback": fallback}
     for name in extractors_for(path):
