@@ -30,7 +30,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The published pre-tokenisation pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Half a band is the larger of SPREADS robust deviations and a share of the median (for byte_share
-#: an absolute width), and wider in short texts: times sqrt(1 + SHORT / n_tokens).
+#: an absolute width; upwards, chars_per_token has twice that), and wider in short texts: times sqrt(1 + SHORT / n_tokens).
 SPREADS, SHORT, MIN_GROUP = 4.0, 400.0, 30
 SHARES = {"chars_per_token": 0.075, "token_entropy": 0.25, "byte_share": 0.04}
 BASE_MIN_WORDS, BASE_MAX_REPEAT_PERCENT = 50, 50
@@ -161,7 +161,7 @@ def fertility_rules(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/{VOCABULAR
         return q[1] + F.lit(sign) * half * F.sqrt(1 + F.lit(SHORT) / F.greatest("n_tokens", F.lit(1)))
 
     flags = {
-        "bad_fertility": (F.col("chars_per_token") < edge("chars_per_token", -1)) | (F.col("chars_per_token") > edge("chars_per_token", 1)),
+        "bad_fertility": (F.col("chars_per_token") < edge("chars_per_token", -1)) | (F.col("chars_per_token") > edge("chars_per_token", 2)),
         "bad_bytes": F.col("byte_share") > edge("byte_share", 1),
         "bad_entropy": F.col("token_entropy") < edge("token_entropy", -1),
     }
