@@ -35,6 +35,8 @@ DATE = "1970-01-01T00:00:00Z"
 MIN_BYTES, ROLL_BYTES, GZIP_LEVEL = 0, 256 << 20, 4
 #: Ranges are merged over gaps up to GAP bytes and up to RANGE bytes in all.
 GAP, RANGE = 64 << 10, 8 << 20
+#: Archive bytes that one reading task takes.
+PART = 8 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, url string, digest string, record_type string, refers_to long, file string, offset long, length long"
 
@@ -157,7 +159,9 @@ def read_records(index: DataFrame, gap: int = GAP, most: int = RANGE, payloads:
     """The records that ``index`` (file, offset, length) selects, parsed; payload checked against
     its digest. Without ``payloads`` they stay in the reading task."""
     index = index.select("file", "offset", "length")
-    spread = index.repartitionByRange(F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
+    # As many partitions as the archives' bytes ask for; the index itself is far too small to tell.
+    size = index.agg(F.sum("length")).first()[0] or 0
+    spread = index.repartitionByRange(max(1, -(-size // PART)), F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     fields = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     if payloads:
