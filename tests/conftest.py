@@ -17,5 +17,8 @@ def spark(tmp_path_factory):
         .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from waymark.plans.ship import ship
+
+    ship(session)
     yield session
     session.stop()
