@@ -84,18 +84,19 @@ class Scheme:
         return 2 * (self.ends[g + 1] - 1) * (100 - self.percent) // (100 + self.percent)
 
     def positions(self, g: int) -> tuple[int, int]:
-        """Positions, and how many of them may be empty without an empty one being a key: as many as
-        the smallest sets of the class leave empty, with a margin."""
+        """Positions, and how many of them may be weak (hold one shingle or none) without a weak one
+        being a key: as many as the smallest sets of the class leave weak, with a margin."""
         k = self.differences(g)
         if g not in self.known:
-            m = spare = k + 1
+            m = k + 1
             least = max(self.ends[g] * self.percent // 100, 1)
-            for _ in range(20):
-                empty = m * math.exp(-least / m)
-                spare = math.ceil(empty + 3 * math.sqrt(empty)) + 1
-                if k + 1 + spare == m:
+            for _ in range(60):
+                mean = least / m
+                weak = m * math.exp(-mean) * (1 + mean)
+                more = k + 1 + math.ceil(weak + 2 * math.sqrt(weak)) + 1
+                if more <= m or more > 2 * (k + 1):
                     break
-                m = k + 1 + spare
+                m = more
             self.known[g] = m, m - k - 1
         return self.known[g]
 
@@ -111,9 +112,11 @@ class Scheme:
             where = (h >> np.uint64(32)).astype(np.int64) % m
             sums = np.zeros(m, dtype=np.uint64)
             np.add.at(sums, where, mix(h))
-            full = np.zeros(m, dtype=bool)
-            full[where] = True
-            at = np.flatnonzero(full) if m - full.sum() <= spare else np.arange(m)
+            held = np.bincount(where, minlength=m)
+            # A similar set leaves spare + 1 positions alone at least, with equal content. So where no
+            # more than spare are weak, a strong one is among them; else only empty ones are left out.
+            least = next((i for i in (2, 1) if (held < i).sum() <= spare), 0)
+            at = np.flatnonzero(held >= least)
             out.append(mix(sums[at] + mix(at.astype(np.uint64) + np.uint64(scheme << 40))))
         return np.concatenate(out) if out else s[:0]
 
