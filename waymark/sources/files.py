@@ -12,8 +12,7 @@ SKIP_DIRS = (
     ".git", "node_modules", "dist", "target", "build", "out", ".pylibs",
     "test-results", "playwright-report", "blob-report", "uploads",
     "__pycache__", ".venv", "venv", ".idea", ".vscode", "coverage",
-    ".next", ".angular", "shots", "preview-page", ".codebase-map",
-    ".dsh",
+    ".next", ".angular", "shots", "preview-page",
 )
 SKIP_SUFFIXES = (".min.js", ".min.css", ".map", ".lock", "-lock.json")
 SECRET_FILES = (".env",)
