@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from waymark.llm import chat, decontaminate, fertility, jaccard, langid, line_dedup, mixing, suffix_dedup, url_filter, warc
+from waymark.llm import chat, components, decontaminate, fertility, jaccard, langid, line_dedup, mixing, suffix_dedup, url_filter, warc
 
 DOCS = "doc_id long, text string"
 FULL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -183,6 +183,37 @@ def test_jaccard_cases(spark):
     assert rows(jaccard.one_per_component(df)) == sorted([(1, "a b c d"), (None, "a b c d")], key=str)
 
 
+def test_chain_of_drifting_documents(spark):
+    """Each document is near the next one only: one component of 1,000."""
+    words = [f"w{i}" for i in range(1100)]
+    docs = [(i, " ".join(words[i : i + 27])) for i in range(1000)]
+    near = lambda a, b: len(brute.shingles(docs[a][1], 3) & brute.shingles(docs[b][1], 3)) / len(brute.shingles(docs[a][1], 3) | brute.shingles(docs[b][1], 3))
+    assert near(0, 1) >= 0.9 > near(0, 2)
+    assert rows(jaccard.jaccard_components(spark.createDataFrame(docs, DOCS))) == sorted(((i, 25, 0) for i in range(1000)), key=str)
+
+
+def test_components_of_any_graph(spark):
+    rnd = random.Random(12)
+    name = rnd.sample(range(-(10**9), 10**9), 400)
+    pairs = [(i, i + 1) for i in range(100)] + [(110, 111 + i) for i in range(60)] + [(i, i) for i in (180, 181)] + [(190 + i, 190 + (i + 1) % 9) for i in range(9)]
+    pairs += [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(150)]
+    root = {n: n for n in {x for p in pairs for x in p}}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    least = {}
+    for n in root:
+        least[find(n)] = min(name[n], least.get(find(n), name[n]))
+    got = components.connected_components(spark.createDataFrame([(name[a], name[b]) for a, b in pairs], "a long, b long"))
+    assert rows(got) == sorted(((name[n], least[find(n)]) for n in root), key=str)
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_keys_are_complete():
     """Pairs within the threshold share a key, down to the least sizes."""
     rnd = np.random.default_rng(1)
