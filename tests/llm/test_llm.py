@@ -386,3 +386,16 @@ def test_long_reply_chains(spark):
     msgs = [(7, i, "user", (f"> {said[i - 1]}\n" if i else "") + said[i]) for i in range(40)]
     out = chat.reply_order(spark.createDataFrame(msgs, "conv_id long, turn long, role string, text string")).collect()
     assert {r["root_turn"] for r in out} == {0} and {r["depth"] for r in out} == set(range(40))
+
+
+def test_short_and_cjk_quotes(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 4)
+    said = ["Are you in?", "> Are you in?\nYes, please", "> Yes, please\n好的", "> 好的。\nはい", "> はい\n👍", "> 👍\nWhere?", "Yes, please",
+            "> Yes, please\nFine", "Thanks.\nThe plan has three steps in all.", "Hi\nThanks.\nBye", "> Thanks.\n> The plan has three steps in all.\nok",
+            "> Where?\nHere", "> Are you in?\nStill no"]
+    msgs = [(c, i, "user", t) for c in (1, 2) for i, t in enumerate(said)]
+    out = {(r["conv_id"], r["turn"]): r for r in chat.reply_order(spark.createDataFrame(msgs, "conv_id long, turn long, role string, text string")).collect()}
+    for c in (1, 2):
+        assert [out[c, i]["parent_turn"] for i in range(len(said))] == [None, 0, 1, 2, 3, 4, None, 6, None, None, 8, 5, 0]
+        assert [out[c, i]["n_quotes"] for i in range(len(said))] == [0, 1, 1, 1, 1, 1, 0, 1, 0, 0, 3, 1, 1]
+        assert (out[c, 5]["root_turn"], out[c, 5]["depth"]) == (0, 5)

@@ -2,16 +2,18 @@
 
 Each message is parsed into lines with their quote level (the number of leading > marks). Quoted
 lines, and quoted passages with their lines joined (so that wrapping does not matter), are
-normalised and hashed; so are the lines and passages of each message's own text. A quote belongs to
-the first message of the conversation that says it; a message answers the earlier message that its
-outermost quotes name most often (of equals, the latest). Quotes and the line that introduces them
-are cut, and messages are ordered by thread: root message, then turn.
+normalised and hashed, whatever their length; so are the lines and passages of each message's own
+text. A quote belongs to the nearest earlier message of the conversation that says it; a message
+answers the earlier message that its outermost quotes name with the most characters (of equals, the
+latest), so a short line that many messages say yields to the passage it stands in. Quotes and the
+line that introduces them are cut, and messages are ordered by thread: root message, then turn.
 
 Roots are found by pointer jumping over the links, on tables. No step needs the messages of one
 conversation in one task, so a conversation may hold a third of all rows.
 
 Cases: null or empty texts have no lines and an empty body; rows with a null conv_id or turn are not
-linked; rows that repeat (conv_id, turn) share their links; quotes that match nothing are cut but
+linked; rows that repeat (conv_id, turn) share their links; a passage of signs alone is compared as
+it stands; quotes that match nothing are cut but
 link nothing; a message without a linked quote is a root; extra columns are not read.
 """
 
@@ -22,31 +24,32 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import broadcast_if_small, materialise, table
 
 _MARKS = re.compile(r"^[ \t]{0,3}((?:>[ \t]?)+)")
 _INTRO = re.compile(r"^(?:on\b.{0,200}\bwrote|.{1,80}\b(?:wrote|schrieb|a écrit|escribió))\s*:\s*$", re.I)
 _SIGNS = re.compile(r"[\W_]+")
-#: A shorter normalised line is too common to name a message.
-MIN_CHARS = 12
+#: Turns that one task looks through at once for the nearest message that says a passage.
+BLOCK = 1024
 MAX_ROUNDS = 64
-PARSED = "conv_id long, turn long, role string, body string, own array<binary>, quoted array<struct<level:int,hash:binary>>"
+PARSED = "conv_id long, turn long, role string, body string, own array<binary>, quoted array<struct<level:int,hash:binary,n:int>>"
 
 
 def normal(text: str) -> str:
     return _SIGNS.sub(" ", text.lower()).strip()
 
 
-def _hash(text: str) -> bytes | None:
-    text = normal(text)
-    return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest() if len(text) >= MIN_CHARS else None
+def _hash(text: str) -> tuple[bytes, int] | None:
+    """The hash and the length of a passage; signs count only where there is nothing else."""
+    text = normal(text) or " ".join(text.split())
+    return (hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(), len(text)) if text else None
 
 
-def parse(text: str | None) -> tuple[str, list[bytes], list[tuple[int, bytes]]]:
-    """The body without quotes, hashes of own lines and passages, (level, hash) of quoted ones."""
+def parse(text: str | None) -> tuple[str, list[bytes], list[tuple[int, bytes, int]]]:
+    """The body without quotes, hashes of own lines and passages, (level, hash, length) of quoted ones."""
     passages: list[tuple[int, list[str]]] = []
     body: list[str] = []
     for line in (text or "").split("\n"):
@@ -66,26 +69,26 @@ def parse(text: str | None) -> tuple[str, list[bytes], list[tuple[int, bytes]]]:
         else:
             passages.append((level, [rest]))
     own: set[bytes] = set()
-    quoted: set[tuple[int, bytes]] = set()
+    quoted: set[tuple[int, bytes, int]] = set()
     for level, lines in passages:
         for piece in {*lines, " ".join(lines)}:
             h = _hash(piece)
             if h and level:
-                quoted.add((level, h))
+                quoted.add((level, *h))
             elif h:
-                own.add(h)
+                own.add(h[0])
     return "\n".join(body).strip("\n"), sorted(own), sorted(quoted)
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    pair = pa.struct([("level", pa.int32()), ("hash", pa.binary())])
+    pair = pa.struct([("level", pa.int32()), ("hash", pa.binary()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [parse(t) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:3], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.binary())),
-                 pa.array([[{"level": x, "hash": h} for x, h in g[2]] for g in got], pa.list_(pair))],
+                 pa.array([[{"level": x, "hash": h, "n": n} for x, h, n in g[2]] for g in got], pa.list_(pair))],
                 names=["conv_id", "turn", "role", "body", "own", "quoted"],
             )
 
@@ -93,15 +96,23 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def links(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent) from the parsed messages."""
-    quotes = rows.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.hash")
-    said = rows.select("conv_id", "turn", F.explode("own").alias("hash"))
-    first = materialise(said.groupBy("conv_id", "hash").agg(F.min("turn").alias("parent")))
-    found = quotes.join(first, ["conv_id", "hash"]).where("parent < turn")
-    votes = found.groupBy("conv_id", "turn", "level", "parent").count()
-    return votes.groupBy("conv_id", "turn").agg(
-        F.max_by("parent", F.struct(-F.col("level"), F.col("count"), F.col("parent"))).alias("parent")
-    )
+    """(conv_id, turn, parent) from the parsed messages. The nearest message that says a quote is
+    looked for in its block of turns, else in the last block before that has one; so no task needs
+    all messages that say a common passage."""
+    rows = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    quotes = rows.select("conv_id", "turn", F.explode("quoted").alias("q")).groupBy("conv_id", "turn", "q.level", "q.hash").agg(F.sum("q.n").alias("n"))
+    quotes = materialise(quotes)
+    asked = materialise(quotes.select("conv_id", "hash").distinct())
+    said = rows.select("conv_id", "turn", F.explode("own").alias("hash")).join(broadcast_if_small(asked), ["conv_id", "hash"], "left_semi").distinct()
+    events = said.withColumn("said", F.col("turn")).unionByName(quotes, allowMissingColumns=True)
+    events = materialise(events.withColumn("block", F.floor(F.col("turn") / BLOCK)))
+    inside = Window.partitionBy("conv_id", "hash", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("conv_id", "hash").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = events.groupBy("conv_id", "hash", "block").agg(F.max("said").alias("top")).withColumn("before", F.max("top").over(ahead))
+    near = events.withColumn("near", F.max("said").over(inside)).where("level IS NOT NULL")
+    found = near.join(blocks, ["conv_id", "hash", "block"]).withColumn("parent", F.coalesce("near", "before")).where("parent IS NOT NULL")
+    votes = found.groupBy("conv_id", "turn", "level", "parent").agg(F.sum("n").alias("n"))
+    return votes.groupBy("conv_id", "turn").agg(F.max_by("parent", F.struct(-F.col("level"), F.col("n"), F.col("parent"))).alias("parent"))
 
 
 def roots(parents: DataFrame) -> DataFrame:
