@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from waymark import schema as S
 from waymark.operators import detect, intent, migrate
 
 REQUIREMENTS = """# Product
@@ -106,3 +107,73 @@ def test_detect(spark):
     got = {(r["section"], r["name"]): r["confidence"] for r in detect.detect(spark, files).collect()}
     assert got[("languages", "java")] == "HIGH" and got[("languages", "python")] == "LOW"
     assert got[("frameworks", "spring")] == "MEDIUM" and got[("databases", "postgresql")] == "MEDIUM" and got[("databases", "redis")] == "MEDIUM"
+
+
+V1_KINDS = """record class, entity class, repository class, configuration configuration, configuration-key configuration-key, environment-variable environment,
+frontend-component component, frontend-service service, frontend-route route, frontend-guard guard, frontend-interceptor interceptor, ts-class class,
+test-case test-case, database-table table, database-view view, database-procedure procedure, database-sequence sequence, external-service external-service,
+authentication configuration, deployment deployment-unit, ci-job ci-job, migration migration, file file"""
+V1_TYPES = "stereotyped-as references, instantiates references, creates creates, modifies modifies, seeds seeds"
+
+
+def test_every_old_name_migrates(spark):
+    kinds, types = ([tuple(x.split()) for x in t.split(",")] for t in (V1_KINDS, V1_TYPES))
+    n = spark.createDataFrame([(new, old, None) for old, new in kinds], "id string, kind string, provenance string")
+    e = spark.createDataFrame([(new, "b", old, None) for old, new in types], "src string, dst string, type string, provenance string")
+    once = migrate.migrate(n, e)
+    assert [r["kind"] for r in once[0].collect()] == [new for _, new in kinds] and {new for _, new in kinds} <= set(S.NODE_KINDS)
+    assert [r["type"] for r in once[1].collect()] == [new for _, new in types] and {new for _, new in types} <= set(S.EDGE_TYPES)
+    assert [r["kind"] for r in migrate.migrate(*once)[0].collect()] == [new for _, new in kinds]
+    later = migrate.migrate(n, e, version=2)
+    assert [r["kind"] for r in later[0].collect()] == [old for old, _ in kinds] and {r["provenance"] for r in later[0].collect()} == {"derived"}
+
+
+# File, section, name, confidence.
+MANIFESTS = """pom.xml languages java HIGH, build.gradle languages java HIGH, build.gradle.kts languages kotlin/java HIGH, package.json languages javascript MEDIUM,
+angular.json frameworks angular HIGH, requirements.txt languages python HIGH, pyproject.toml languages python HIGH, Pipfile languages python HIGH, go.mod languages go HIGH,
+Cargo.toml languages rust HIGH, Gemfile languages ruby HIGH, composer.json languages php HIGH, build.sbt languages scala HIGH, mix.exs languages elixir HIGH,
+pubspec.yaml languages dart HIGH, Package.swift languages swift HIGH, a.csproj languages csharp HIGH, a.sln languages csharp HIGH, Dockerfile infrastructure containers HIGH,
+docker-compose.yml infrastructure containers HIGH, docker-compose.prod.yml infrastructure containers HIGH, pom.xml infrastructure maven HIGH, build.gradle infrastructure gradle HIGH,
+build.gradle.kts infrastructure gradle HIGH, package.json infrastructure npm MEDIUM, requirements.txt infrastructure pip HIGH, Pipfile infrastructure pipenv HIGH,
+go.mod infrastructure go-modules HIGH, Cargo.toml infrastructure cargo HIGH, Gemfile infrastructure bundler HIGH, composer.json infrastructure composer HIGH,
+build.sbt infrastructure sbt HIGH, mix.exs infrastructure mix HIGH, pubspec.yaml infrastructure pub HIGH, Package.swift infrastructure spm HIGH, a.csproj infrastructure msbuild HIGH,
+a.sln infrastructure msbuild HIGH, Dockerfile infrastructure docker HIGH, docker-compose.yml infrastructure docker-compose HIGH, docker-compose.prod.yml infrastructure docker-compose HIGH"""
+NEEDLES = """springframework frameworks spring-boot HIGH, spring-boot frameworks spring-boot HIGH, @angular/ frameworks angular HIGH, react frameworks react MEDIUM,
+vue frameworks vue MEDIUM, fastapi frameworks fastapi HIGH, django frameworks django HIGH, flask frameworks flask HIGH, grpc frameworks grpc MEDIUM,
+protobuf frameworks protobuf MEDIUM, kafka frameworks kafka MEDIUM, flyway frameworks flyway HIGH, alembic frameworks alembic HIGH, typeorm frameworks typeorm MEDIUM,
+prisma frameworks prisma MEDIUM, sqlalchemy frameworks sqlalchemy MEDIUM, hibernate frameworks hibernate/jpa HIGH, keycloak infrastructure keycloak MEDIUM,
+jdbc:postgresql databases postgresql HIGH, jdbc:mysql databases mysql HIGH, jdbc:oracle databases oracle HIGH, postgresql databases postgresql MEDIUM,
+pg8000 databases postgresql MEDIUM, psycopg databases postgresql MEDIUM, mysql databases mysql MEDIUM, mssql databases sql-server MEDIUM, sqlserver databases sql-server MEDIUM,
+sqlite databases sqlite MEDIUM, mongodb databases mongodb MEDIUM, pymongo databases mongodb MEDIUM, mongoose databases mongodb MEDIUM, redis databases redis MEDIUM,
+memcached databases memcached MEDIUM, aws-sdk infrastructure aws MEDIUM, boto3 infrastructure aws MEDIUM, google-cloud infrastructure gcp MEDIUM,
+kubernetes infrastructure kubernetes MEDIUM, terraform infrastructure terraform MEDIUM"""
+SOURCES = """.java java, .py python, .go go, .rs rust, .cs csharp, .rb ruby, .php php, .swift swift, .kt kotlin, .scala scala, .dart dart, .ex elixir, .ts typescript,
+.tsx typescript, .js javascript, .jsx javascript, .vue vue, .svelte svelte, .sql sql"""
+
+
+def detected(spark, files):
+    return {(r["section"], r["name"]): r["confidence"] for r in detect.detect(spark, spark.createDataFrame(files, "path string, text string")).collect()}
+
+
+def rounds(entries):
+    """The entries in groups that name each technology once."""
+    out = []
+    for e in entries:
+        group = next((g for g in out if all(e[2] != x[2] for x in g)), None)
+        out.append([e]) if group is None else group.append(e)
+    return out
+
+
+def test_every_signal_is_detected(spark):
+    for group in rounds([x.split() for x in MANIFESTS.split(",")]):
+        got = detected(spark, [(f"m/{file}", None) for file in {e[0] for e in group}])
+        assert {(s, n): got.get((s, n)) for _, s, n, _ in group} == {(s, n): c for _, s, n, c in group}
+    for group in rounds([x.split() for x in NEEDLES.split(",")]):
+        got = detected(spark, [("application.yml", "\n".join(e[0] for e in group).upper())])
+        assert {(s, n): got.get((s, n)) for _, s, n, _ in group} == {(s, n): c for _, s, n, c in group}
+    for group in rounds([("", *x.split()[:1], *x.split()[1:]) for x in SOURCES.split(",")]):
+        few = detected(spark, [(f"s/a{e[1]}", None) for e in group])
+        assert {k: c for k, c in few.items() if k[0] == "languages"} == {("languages", e[2]): "LOW" for e in group}
+        assert {n for s, n in few if s == "unsupported"} == {e[2] for e in group} & {"ruby", "php", "swift", "kotlin", "scala", "dart", "elixir"}
+    many = detected(spark, [(f"s/{i}.vue", None) for i in range(3)] + [("package.json", "vue")])
+    assert many["frameworks", "vue"] == "MEDIUM" and ("languages", "vue") not in many

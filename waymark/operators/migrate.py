@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from waymark.functions.text import md_cell
 
 # Names of the first schema version and their successors.
-KIND_V1 = {"frontend-component": "component", "database-table": "table"}
-TYPE_V1 = {"stereotyped-as": "references"}
-
-
-def migrate(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Old kind and type names to the present ones; rows without provenance are derived. Asserted
-    rows stay. Running it again changes nothing."""
-    look = lambda names, c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col(c)), F.col(c))
+KIND_V1 = {
+    "record": "class", "entity": "class", "repository": "class", "configuration": "configuration",
+    "configuration-key": "configuration-key", "environment-variable": "environment", "frontend-component": "component",
+    "frontend-service": "service", "frontend-route": "route", "frontend-guard": "guard",
+    "frontend-interceptor": "interceptor", "ts-class": "class", "test-case": "test-case", "database-table": "table",
+    "database-view": "view", "database-procedure": "procedure", "database-sequence": "sequence",
+    "external-service": "external-service", "authentication": "configuration", "deployment": "deployment-unit",
+    "ci-job": "ci-job", "migration": "migration", "file": "file",
+}
+TYPE_V1 = {"stereotyped-as": "references", "instantiates": "references", "creates": "creates", "modifies": "modifies", "seeds": "seeds"}
+
+
+def migrate(nodes: DataFrame, edges: DataFrame, version: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Old kind and type names of a graph of the first version to the present ones; rows without
+    provenance are derived. Asserted rows stay. Running it again changes nothing. From version 2 on
+    names stay, as entity and repository are kinds there."""
+    look = lambda names, c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col(c)), F.col(c)) if version < 2 else F.col(c)
     origin = F.coalesce("provenance", F.lit("derived"))
     return nodes.withColumns({"kind": look(KIND_V1, "kind"), "provenance": origin}), edges.withColumns({"type": look(TYPE_V1, "type"), "provenance": origin})
 
