@@ -147,6 +147,16 @@ def test_reach_and_neighbourhood(spark, graph):
     assert {x["node"] for x in near.collect()} == {"svc:S", "py:class:H#go", "table:t", "queue:kafka"}
 
 
+def test_deep_chains(spark):
+    n = nodes(spark, [(f"n{i}", "class", f"n{i}", "f", "HIGH", "py", None) for i in range(55)])
+    adj = traverse.adjacency(n, edges(spark, [(f"n{i}", f"n{i + 1}", "calls", "HIGH") for i in range(54)]))
+    seeds = spark.createDataFrame([("n0",), ("n20",)], "seed string")
+    got = {r["seed"]: (r["found"], r["hops"], r["path"]) for r in traverse.shortest_path(adj, seeds, spark.createDataFrame([("n15",)], "target string")).collect()}
+    assert got == {"n0": (True, 15, " > ".join(f"n{i}" for i in range(16))), "n20": (True, 5, "n20 > n19 > n18 > n17 > n16 > n15")}
+    assert {r["seed"]: r["n_reach"] for r in traverse.reach(adj, n, seeds).collect()} == {"n0": 54, "n20": 34}
+    assert {r["seed"]: r["n_reach"] for r in traverse.reach(adj, n, seeds, limit=52).collect()} == {"n0": 51, "n20": 34}
+
+
 def test_grouping(graph):
     n, _ = graph
     got = {r["id"]: r["g"] for r in n.select("id", inventory.group_of().alias("g")).collect()}

@@ -1,4 +1,4 @@
-"""Graph traversal: bounded level loops of joins. Each level is a table; the driver sees only
+"""Graph traversal: level loops of joins. Each level is a table; the driver sees only
 whether a level is empty."""
 
 from __future__ import annotations
@@ -66,8 +66,8 @@ def both_ways(adj: DataFrame, cap: int | None = None) -> DataFrame:
     return out.where(F.col("pos") <= cap) if cap else out
 
 
-def shortest_path(adj: DataFrame, seeds: DataFrame, targets: DataFrame, fanout_cap: int = 50, max_depth: int = 12) -> DataFrame:
-    """Undirected shortest path from each seed to any target: (seed, found, hops, path).
+def shortest_path(adj: DataFrame, seeds: DataFrame, targets: DataFrame, fanout_cap: int = 50) -> DataFrame:
+    """Undirected shortest path of any length from each seed to any target: (seed, found, hops, path).
 
     Ties go by breadth-first order: a node's place is the array of its neighbour positions along
     the path, which compare as the queue would be served.
@@ -77,12 +77,11 @@ def shortest_path(adj: DataFrame, seeds: DataFrame, targets: DataFrame, fanout_c
     goal = cut(targets.select(F.col("target").alias("node")).distinct())
     seen = front.select("seed", "node")
     found = None
-    for depth in range(max_depth + 1):
+    while True:
         hit = cut(front.join(goal, "node", "left_semi").groupBy("seed").agg(F.min_by("path", "ord").alias("path")))
-        found = hit if found is None else found.unionByName(hit)
-        front = front.join(hit.select("seed"), "seed", "left_anti")
-        if depth == max_depth:
-            break
+        if found is None or hit.limit(1).count():
+            found = hit if found is None else cut(found.unionByName(hit))
+            front = front.join(hit.select("seed"), "seed", "left_anti")
         f = small(cut(front))
         step = f.join(nb, "node").select("seed", F.col("nb").alias("node"), F.concat("ord", F.array("pos")).alias("ord"), F.concat("path", F.array("nb")).alias("path"))
         step = step.join(seen, ["seed", "node"], "left_anti").groupBy("seed", "node").agg(F.min_by(F.struct("ord", "path"), "ord").alias("b"))
@@ -115,15 +114,15 @@ def neighbourhood(adj: DataFrame, seeds: DataFrame, depth: int = 2, cap: int = 1
     return seen.orderBy("node").limit(cap)
 
 
-def reach(adj: DataFrame, nodes: DataFrame, seeds: DataFrame, limit: int = 400, max_depth: int = 50) -> DataFrame:
+def reach(adj: DataFrame, nodes: DataFrame, seeds: DataFrame, limit: int = 400) -> DataFrame:
     """(seed, n_reach): distinct existing nodes downstream of each seed, at most ``limit`` - 1. A
-    seed that has reached the limit is not expanded any more."""
+    seed that has reached the limit is not expanded any more, so at most ``limit`` levels are walked."""
     ids = nodes.select(F.col("id").alias("dst")).distinct()
     live = cut(adj.join(ids, "dst", "left_semi").select("src", "dst").distinct())
     start = seeds.select("seed", F.col("seed").alias("node"))
     seen = cut(start)
     front = seen
-    for _ in range(max_depth):
+    while True:
         step = (
             live.join(front, live["src"] == front["node"]).select("seed", F.col("dst").alias("node")).distinct()
             .join(seen, ["seed", "node"], "left_anti")
