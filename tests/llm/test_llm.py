@@ -275,6 +275,23 @@ def test_decontamination(spark):
         assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_passes_weigh_alike(spark):
+    """Items that share half their shingles give the same rows in one pass and in many."""
+    rnd = random.Random(21)
+    shared = prose(rnd, 20, 5000)
+    items = [(i, f"{shared} {prose(rnd, 20, 5000)}") for i in range(24)] + [(90, "a b"), (91, None)]
+    docs = []
+    for i, text in items[:24]:
+        w = text.split()
+        w[rnd.choice([0, 1, 38, 39])] = "changed"
+        docs.append((i, " ".join(w)))
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    want = [(*r[:3], round(r[3], 9), *r[4:]) for r in rows(decontaminate.matches(d, b))]
+    assert len({r[0] for r in want}) > 12 and len({r[3] for r in want}) > 1
+    for most in (13, 5):
+        assert [(*r[:3], round(r[3], 9), *r[4:]) for r in rows(decontaminate.matches(d, b, max_items=most))] == want
+
+
 def test_fingerprints_find_similar_windows():
     """Recall of the fingerprints near the threshold, and the completeness of the multi-index."""
     rnd = random.Random(9)

@@ -9,7 +9,8 @@ the two multisets of shingles, the weighted sum of least counts over that of lar
 THRESHOLD. A shingle's weight is ln(1 + items / items that hold it).
 
 Words are split at ASCII white space after lower-casing A-Z and leaving out ASCII punctuation.
-The items go along with the tasks, at most MAX_ITEMS at once; more are taken in several passes.
+The items go along with the tasks, at most MAX_ITEMS at once; more are taken in several passes, one
+collected at a time. Weights count over the whole benchmark, whatever the passes.
 The fingerprint can miss a pair near the threshold (measured in tests/llm); equal passages have
 distance 0.
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 from .wordhash import BLOCK, batches_of, hash_words, shingle
 
 WORDS, THRESHOLD, RADIUS, BLOCKS, MAX_ITEMS = 5, 0.8, 19, 5, 50_000
@@ -46,7 +47,9 @@ class Benchmark:
     """The items' shingles, fingerprints and multi-index."""
 
     def __init__(self, ids: list[int], texts: list[str | None], radius: int = RADIUS, blocks: int = BLOCKS,
-                 threshold: float = THRESHOLD):
+                 threshold: float = THRESHOLD, total: int | None = None, common: tuple[np.ndarray, np.ndarray] | None = None):
+        """Of one pass, ``total`` items of five words or more are in the whole benchmark, and
+        ``common`` has the sorted shingles that two of them or more hold, with their holders."""
         self.threshold, self.radius, self.blocks = threshold, radius, blocks
         words, at = hash_words([normal(t) for t in texts])
         own = [shingle(words[a:b], WORDS) for a, b in itertools.pairwise(at)]
@@ -56,8 +59,11 @@ class Benchmark:
         self.size = np.array([len(own[i]) for i in keep], dtype=np.int64)  # shingles in a window
         every = np.concatenate([np.unique(own[i]) for i in keep]) if keep else np.zeros(0, np.uint64)
         self.known, df = np.unique(every, return_counts=True)
-        self.weights = np.log1p(len(keep) / df)
-        self.rare = float(np.log1p(len(keep)))
+        total = len(keep) if total is None else total
+        self.rare = float(np.log1p(total))
+        self.weighed, self.weights = self.known, np.log1p(total / df)
+        if common is not None:
+            self.weighed, self.weights = common[0], np.log1p(total / common[1])
         self.holders = defaultdict(list)
         for i, c in enumerate(self.counts):
             for s in c:
@@ -75,10 +81,10 @@ class Benchmark:
             self.parts.append((a, b - a, near, order, first))
 
     def weight(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.known):
+        if not len(self.weighed):
             return np.full(len(shingles), self.rare)
-        i = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[i] == shingles, self.weights[i], self.rare)
+        i = np.minimum(np.searchsorted(self.weighed, shingles), len(self.weighed) - 1)
+        return np.where(self.weighed[i] == shingles, self.weights[i], self.rare)
 
     def fingerprints(self, shingles: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         """SimHash of the windows of ``size`` shingles at ``starts``."""
@@ -163,16 +169,40 @@ class Benchmark:
                     yield i + d, found
 
 
-def _items(benchmark: DataFrame, most: int) -> list[list]:
-    """The items in passes of at most ``most``; only the item_id and text are read."""
+def _shared(items: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
+    """The number of items of five words or more, and the shingles that two of them or more hold
+    with their holders (all others have one, and the weight of an unknown shingle)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, at = hash_words([normal(t) for t in b.column(1).to_pylist()])
+            own = [np.unique(shingle(words[i:j], WORDS)) for i, j in itertools.pairwise(at)]
+            own = [s for s in own if len(s)]
+            flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
+            first = np.zeros(len(flat), dtype=bool)
+            first[np.cumsum([0, *map(len, own)])[:-1]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(first)], names=["s", "first"])
+
+    held = materialise(items.mapInArrow(run, "s long, first boolean"))
+    total = held.where("first").count()
+    rows = held.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    common = rows["s"].to_numpy().view(np.uint64)
+    order = np.argsort(common)
+    return total, (common[order], rows["n"].to_numpy()[order])
+
+
+def _items(benchmark: DataFrame, most: int) -> Iterator[tuple[list, dict]]:
+    """The items in passes of at most about ``most``, each collected as it is asked for, and what
+    Benchmark needs of the whole; only the item_id and text are read."""
     items = benchmark.select(F.col("item_id").cast("long"), "text")
-    n = items.count()
-    passes = max(1, -(-n // most))
-    out = []
+    passes = max(1, -(-items.count() // most))
+    if passes == 1:
+        yield items.collect(), {}
+        return
+    total, common = _shared(items)
     for p in range(passes):
-        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
-        out.append(part.collect())
-    return out
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
+        yield part.collect(), {"total": total, "common": common}
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS,
@@ -181,11 +211,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     distance, and the number of windows that match."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     out = None
-    for items in _items(benchmark, max_items):
+    for items, whole in _items(benchmark, max_items):
         ids, texts = [r[0] for r in items], [r[1] for r in items]
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
-            index = Benchmark(ids, texts, radius, blocks, threshold)
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts, whole=whole) -> Iterator[pa.RecordBatch]:
+            index = Benchmark(ids, texts, radius, blocks, threshold, **whole)
             for b in batches:
                 doc = b.column(0)
                 rows = [
@@ -209,11 +239,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                       blocks: int = BLOCKS, max_items: int = MAX_ITEMS) -> DataFrame:
     """``docs`` without the rows whose text matches an item; all columns stay, nothing is shuffled."""
     at = docs.columns.index("text")
-    for items in _items(benchmark, max_items):
+    for items, whole in _items(benchmark, max_items):
         ids, texts = [r[0] for r in items], [r[1] for r in items]
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
-            index = Benchmark(ids, texts, radius, blocks, threshold)
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts, whole=whole) -> Iterator[pa.RecordBatch]:
+            index = Benchmark(ids, texts, radius, blocks, threshold, **whole)
             for b in batches:
                 clean = np.ones(b.num_rows, dtype=bool)
                 clean[[k for k, _ in index.search(b.column(at).to_pylist())]] = False
