@@ -5,14 +5,16 @@ Exact similarity join of the documents' word-shingle sets: two documents link wh
 
 1. Equal sets. Documents with equal sets form a class, found by a combined hash aggregate; all that
    follows works on one set per class, so groups of copies cost nothing.
-2. Index lists. A pair within the threshold differs in at most k shingles, k from the sizes. The
-   shingles are dealt by hash to m > k positions; the pair agrees in all of some non-empty position,
-   so (size class, position, content of the position) is a complete key. Lists of different size
-   classes or positions never meet: these blocks are skipped whole.
+2. Index lists. A pair within the threshold differs in few shingles, by the sizes. The shingles are
+   dealt by hash to more positions than that, so the pair agrees in all of some position, and
+   (size class, position, content of the position) is a complete key, of which a set keeps a few
+   (see Scheme). Lists of different size classes or positions never meet: these blocks are skipped
+   whole.
 3. Short lists (up to SHORT classes) give their pairs. A pair is skipped when the bit sketches of the
    two sets (each shingle flips one bit, so they differ in no more bits than the sets in shingles)
-   differ too much. A longer list is led by its least class: every member is compared with the
-   leaders of its lists only, and the difference from the leader is kept.
+   differ too much. A longer list, as of a passage that many texts share, is left out by the sets
+   that have enough other keys. For the rest (families of similar sets) it is led by its least class:
+   every member is compared with the leaders of its lists only, and the difference is kept.
 4. Derived answers. For members x, y of a leader L with differences Dx, Dy (of which mx, my shingles
    are missing from L) and c common ones, |x & y| = |L| - mx - my + c: the sets themselves are not
    needed any more. Without a common difference, x and y can only link if both link with L, and so
@@ -39,10 +41,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise, table
+from .common import broadcast_if_small, discard, materialise, table
 from .components import connected_components
 from .wordhash import BLOCK, batches_of, hash_words, mix, shingle
 
@@ -50,8 +52,8 @@ WORDS, PERCENT = 3, 90
 FAMILY = 4096
 #: Lists up to this many entries give all their pairs. Equal sets that a task remembers.
 SHORT, SEEN = 12, 100_000
-#: Ratio of a size class's ends.
-RATIO = 1.5
+#: Ratio of a size class's ends. A power of two above the number of classes.
+RATIO, CLASSES = 2, 64
 
 
 def sets_of(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
@@ -69,7 +71,16 @@ def sets_of(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
 
 
 class Scheme:
-    """Size classes, and the number of positions for a class."""
+    """Size classes, and for each the positions to which shingles are dealt.
+
+    A set and any partner whose larger size is in class g differ in d(n, g) shingles at most, so at
+    least m - d of the m positions have equal content. All contents have one order: those of two
+    shingles and more first, then single shingles, then empty ones, each by hash. A set keeps its first
+    d + 1 + slack contents. Of a pair, look at the set that reaches less far down the order: it leaves
+    out m - d - 1 - slack contents, so at least slack + 1 equal ones are kept, and the partner, which
+    reaches further, keeps them too. That is why a set may also leave out its contents with long
+    lists, if they are no more than slack: they are the same contents for all sets.
+    """
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -79,45 +90,51 @@ class Scheme:
         self.bounds = np.array(self.ends)
         self.known: dict[int, tuple[int, int]] = {}
 
-    def differences(self, g: int) -> int:
-        """The most shingles in which a pair can differ whose larger set is in class g."""
-        return 2 * (self.ends[g + 1] - 1) * (100 - self.percent) // (100 + self.percent)
+    def differences(self, n: int, g: int) -> int:
+        """The most shingles in which a set of n differs from a partner, the larger one in class g."""
+        partner = min(n * 100 // self.percent, self.ends[g + 1] - 1)
+        return (n + partner) * (100 - self.percent) // (100 + self.percent)
+
+    def slack(self, g: int) -> int:
+        return 4 + self.differences(self.ends[g + 1] - 1, g) // 10
 
-    def positions(self, g: int) -> tuple[int, int]:
-        """Positions, and how many of them may be weak (hold one shingle or none) without a weak one
-        being a key: as many as the smallest sets of the class leave weak, with a margin."""
-        k = self.differences(g)
+    def positions(self, g: int) -> int:
+        """The fewest positions that leave the class's smallest and largest sets enough contents of
+        two shingles (by their mean, with a margin); else the number that comes nearest to it."""
         if g not in self.known:
-            m = k + 1
-            least = max(self.ends[g] * self.percent // 100, 1)
-            for _ in range(60):
-                mean = least / m
-                weak = m * math.exp(-mean) * (1 + mean)
-                more = k + 1 + math.ceil(weak + 2 * math.sqrt(weak)) + 1
-                if more <= m or more > 2 * (k + 1):
+            ends = (max(self.ends[g] * self.percent // 100, 1), self.ends[g + 1] - 1)
+            need = [self.differences(n, g) + 1 + self.slack(g) for n in ends]
+            best = (-math.inf, need[1] + 1)
+            for load in (x / 10 for x in range(120, 9, -1)):
+                m = max(math.ceil(ends[1] / load), max(need) + 1)
+                strong = [m * (1 - math.exp(-n / m) * (1 + n / m)) for n in ends]
+                margin = min((s - w) / math.sqrt(w) for s, w in zip(strong, need, strict=True))
+                best = max(best, (margin, m), key=lambda x: x[0])
+                if margin >= 2:
                     break
-                m = more
-            self.known[g] = m, m - k - 1
+            self.known[g] = best[1]
         return self.known[g]
 
     def keys(self, s: np.ndarray) -> np.ndarray:
+        """Hashes of the contents that a set keeps; the last bits of a key are its class."""
         n = len(s)
-        g = int(np.searchsorted(self.bounds, n, side="right")) - 1
+        own = int(np.searchsorted(self.bounds, n, side="right")) - 1
         out = []
-        for scheme in (g, g + 1) if n * 100 >= self.percent * self.ends[g + 1] else (g,):
-            if not self.differences(scheme):
+        for g in (own, own + 1) if n * 100 >= self.percent * self.ends[own + 1] else (own,):
+            d = self.differences(n, g)
+            if not d:
                 continue  # only equal sets link
-            m, spare = self.positions(scheme)
-            h = mix(s ^ np.uint64(0xA5A5A5A5 + scheme))
+            m = self.positions(g)
+            h = mix(s ^ np.uint64(0xA5A5A5A5 + g))
             where = (h >> np.uint64(32)).astype(np.int64) % m
             sums = np.zeros(m, dtype=np.uint64)
             np.add.at(sums, where, mix(h))
-            held = np.bincount(where, minlength=m)
-            # A similar set leaves spare + 1 positions alone at least, with equal content. So where no
-            # more than spare are weak, a strong one is among them; else only empty ones are left out.
-            least = next((i for i in (2, 1) if (held < i).sum() <= spare), 0)
-            at = np.flatnonzero(held >= least)
-            out.append(mix(sums[at] + mix(at.astype(np.uint64) + np.uint64(scheme << 40))))
+            held = np.minimum(np.bincount(where, minlength=m), 2).astype(np.uint64)
+            key = mix(sums + mix(np.arange(m, dtype=np.uint64) + np.uint64(g << 40)))
+            rank = ((np.uint64(2) - held) << np.uint64(62)) | (key >> np.uint64(2))
+            keep = min(d + 1 + self.slack(g), m)
+            key = key[np.argpartition(rank, keep - 1)[:keep]]
+            out.append((key & ~np.uint64(CLASSES - 1)) | np.uint64(g))
         return np.concatenate(out) if out else s[:0]
 
 
@@ -165,7 +182,10 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
 
 
 def index_entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, cls): the index lists' entries; a task tells equal sets once (the last SEEN of them)."""
+    """(key, cls, salt): the index lists' entries; a task tells equal sets once (the last SEEN of them).
+
+    A key with more than SHORT entries in one batch is hot: these get a salt of their own, so that no
+    task holds all entries of a hot key, and one entry of salt -1 tells the key's own task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent)
@@ -181,14 +201,83 @@ def index_entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     seen.pop(next(iter(seen)))
                 keys.append(scheme.keys(s))
                 cls.append(c)
-            sizes = [len(x) for x in keys]
-            if sum(sizes):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(cls, np.int64), sizes))],
-                    names=["key", "cls"],
-                )
+            if not sum(map(len, keys)):
+                continue
+            key = np.concatenate(keys)
+            of = np.repeat(np.array(cls, np.int64), [len(x) for x in keys])
+            values, counts = np.unique(key, return_counts=True)
+            hot = values[counts > SHORT]
+            salt = np.zeros(len(key), dtype=np.int32)
+            if len(hot):
+                at = np.isin(key, hot)
+                # One salt for a key and batch, from the batch's first set; 0 and -1 have their meanings.
+                own = mix(key[at] ^ mix(np.array(cls[:1], np.int64).view(np.uint64)))
+                salt[at] = (own >> np.uint64(34)).astype(np.int32) | 1
+                first = np.flatnonzero(at)[np.unique(key[at], return_index=True)[1]]
+                key, of = np.concatenate((key, key[first])), np.concatenate((of, of[first]))
+                salt = np.concatenate((salt, np.full(len(first), -1, np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(of), pa.array(salt)], names=["key", "cls", "salt"])
+
+    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "key long, cls long, salt int")
+
+
+def _lists(key: np.ndarray, cls: np.ndarray, long: np.ndarray) -> pa.RecordBatch:
+    """Of whole lists, sorted by key and class: (key null, a, b) for each pair of a short one, and
+    (key, a, b null) for each entry of a long one."""
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+    group = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1 if len(key) else np.zeros(0, np.int64)
+    hot = np.bincount(group, weights=long, minlength=1) > 0
+    key, cls, group = key[new], cls[new], group[new]
+    size = np.bincount(group, minlength=1)
+    start = np.concatenate(([0], np.cumsum(size)[:-1]))
+    a, b = [], []
+    for c in range(2, SHORT + 1):
+        at = start[(size == c) & ~hot]
+        if len(at):
+            rows = cls[at[:, None] + np.arange(c)]
+            i, j = np.triu_indices(c, 1)
+            a.append(rows[:, i].ravel())
+            b.append(rows[:, j].ravel())
+    pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1) if a else np.zeros((2, 0), np.int64)
+    listed = (hot | (size > SHORT))[group]
+    n, m = pairs.shape[1], int(listed.sum())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate((np.zeros(n, np.int64), key[listed])), mask=np.arange(n + m) < n),
+            pa.array(np.concatenate((pairs[0], cls[listed]))),
+            pa.array(np.concatenate((pairs[1], np.zeros(m, np.int64))), mask=np.arange(n + m) >= n),
+        ],
+        names=["key", "a", "b"],
+    )
 
-    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "key long, cls long")
+
+def meetings(entries: DataFrame) -> DataFrame:
+    """(key, a, b), see _lists, of all lists of two classes and more. Each entry goes over the network
+    once; lists are read in sorted order, so a task holds a batch and at most the start of a list."""
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = entries.repartition(n, "key", F.greatest("salt", F.lit(0))).sortWithinPartitions("key", "cls")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        key, cls, long = none, none, np.zeros(0, dtype=bool)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.concatenate((key, b.column(0).to_numpy()))
+            cls = np.concatenate((cls, b.column(1).to_numpy()))
+            long = np.concatenate((long, b.column(2).to_numpy() != 0))
+            last = int(np.searchsorted(key, key[-1]))
+            if len(np.unique(cls[last:])) > SHORT:  # what is left of this list is long, too
+                yield _lists(key, cls, long | (np.arange(len(key)) >= last))
+                key, cls, long = key[-1:], cls[-1:], np.ones(1, dtype=bool)
+            elif last:
+                yield _lists(key[:last], cls[:last], long[:last])
+                key, cls, long = key[last:], cls[last:], long[last:]
+        if len(key):
+            yield _lists(key, cls, long)
+
+    return dealt.mapInArrow(run, "key long, a long, b long")
 
 
 def _near_sketches(a: str, b: str, na: str, nb: str, percent: int) -> F.Column:
@@ -326,17 +415,20 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     if classes.where("c0 != c1").limit(1).count():
         raise ValueError("two sets share a 64-bit class")
 
-    # Index lists with two classes or more; each entry goes over the network once, for all uses.
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = index_entries(docs, k, percent).repartition(n, "key")
-    lists = entries.groupBy("key").agg(F.min("cls").alias("leader"), F.max("cls").alias("m"), F.count("*").alias("c")).where("leader < m")
-    members = entries.join(lists.select("key", "leader", "c"), "key")
-    short = members.where(F.col("c") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_set("cls")).alias("s"))
-    twos = F.flatten(F.transform("s", lambda x: F.transform(F.filter("s", lambda y: y > x), lambda y: F.struct(x.alias("leader"), y.alias("cls")))))
-    cand = short.select(F.explode(twos).alias("p")).select("p.leader", "p.cls", F.lit(False).alias("family")).unionByName(
-        members.where((F.col("c") > SHORT) & (F.col("cls") != F.col("leader"))).select("leader", "cls", F.lit(True).alias("family"))
+    met = materialise(meetings(index_entries(docs, k, percent)))
+    # A set leaves out its long lists of a size class if they are within the slack.
+    scheme = Scheme(percent)
+    slack = F.array(*(F.lit(scheme.slack(g)) for g in range(len(scheme.ends) - 1)))
+    listed = met.where("key IS NOT NULL").select("key", F.col("a").alias("cls"), F.col("key").bitwiseAND(CLASSES - 1).cast("int").alias("g")).distinct()
+    listed = listed.withColumn("many", F.count("*").over(Window.partitionBy("cls", "g"))).where(F.col("many") > F.get(slack, F.col("g")))
+    listed = materialise(listed.select("key", "cls"))
+    leaders = materialise(listed.groupBy("key").agg(F.min("cls").alias("leader"), F.count("*").alias("c")).where("c > 1").select("key", "leader"))
+    family_rows = listed.join(broadcast_if_small(leaders), "key").where("leader != cls")
+    cand = met.where("key IS NULL").select(F.col("a").alias("leader"), F.col("b").alias("cls"), F.lit(False).alias("family")).unionByName(
+        family_rows.select("leader", "cls", F.lit(True).alias("family"))
     )
     cand = materialise(cand.groupBy("leader", "cls").agg(F.max("family").alias("family")))
+    discard(met, listed, leaders)
     own = classes.select("cls", "rep", F.col("n").alias("n1"), F.col("bits").alias("b1"))
     lead = classes.select(F.col("cls").alias("leader"), F.col("rep").alias("lead_rep"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
     pairs = materialise(
@@ -365,6 +457,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     )
     links = compared.where("linked").select(F.col("leader").alias("a"), F.col("cls").alias("b"))
     links = materialise(links.union(_derived_links(compared.where("family"), percent, family)))
+    discard(cand, pairs, wanted, sets, compared)
 
     comps = connected_components(links)
     reps = classes.select("cls", "rep")
