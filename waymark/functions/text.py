@@ -76,3 +76,13 @@ def md_cell(text: Column) -> Column:
 def extension(path: Column) -> Column:
     base = F.element_at(F.split(path, "/"), -1)
     return F.lower(F.regexp_extract(base, r"^.+(\.[^.]*)$", 1))
+
+
+def stamp(time: Column) -> Column:
+    """A moment as change records name it: date, hour and minute."""
+    return F.date_format(time, "yyyy-MM-dd-HHmm")
+
+
+def iso_seconds(time: Column) -> Column:
+    """A moment in UTC as the graph's log writes it (the session's time zone has to be UTC)."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'")

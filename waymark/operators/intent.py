@@ -169,3 +169,25 @@ def responsible_for(edges: DataFrame, capability: str) -> DataFrame:
     real = edges.where("type = 'realizes'").select(F.col("src").alias("code"), F.col("dst").alias("via"))
     direct = real.where(F.col("via") == capability)
     return direct.unionByName(real.join(parts, real["via"] == parts["m"], "left_semi")).distinct()
+
+
+def responsibility(edges: DataFrame, target: str) -> DataFrame:
+    """(what, id, via, review) for a capability or requirement: code that realizes it or a part of it,
+    the slices that code or the target is delivered in, and tests that cover the code (tests edges
+    either way). review tells whether a binding waits for one."""
+    parts = edges.where((F.col("type") == "part-of") & (F.col("dst") == target)).select(F.col("src").alias("m"))
+    own = parts.unionAll(parts.sparkSession.createDataFrame([(target,)], "m string")).distinct()
+    real = edges.where("type = 'realizes'").join(own, F.col("dst") == F.col("m"), "left_semi")
+    flag = F.max(F.coalesce(F.col("review") == "needs-review", F.lit(False)))
+    code = real.groupBy(F.col("src").alias("id"), F.col("dst").alias("via")).agg(flag.alias("review"))
+    among = code.select(F.col("id").alias("c")).distinct()
+    asked = among.unionAll(own.select(F.col("m").alias("c"))).distinct()
+    slices = edges.where("type = 'delivered-in'").join(asked, F.col("src") == F.col("c"), "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("via"))
+    tests = edges.where("type = 'tests'")
+    tests = tests.select(F.col("src").alias("id"), F.col("dst").alias("via")).unionAll(tests.select(F.col("dst").alias("id"), F.col("src").alias("via")))
+    tests = tests.join(among, F.col("via") == F.col("c"), "left_semi").join(among.withColumnRenamed("c", "id"), "id", "left_anti")
+    none = F.lit(False).alias("review")
+    return union_all([
+        code.select(F.lit("code").alias("what"), "id", "via", "review"), slices.distinct().select(F.lit("slice").alias("what"), "id", "via", none),
+        tests.distinct().select(F.lit("test").alias("what"), "id", "via", none),
+    ])

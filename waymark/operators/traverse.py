@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from waymark import schema as S
 from waymark.operators.build import resolved_edges
-from waymark.plans.lineage import cut, small
+from waymark.plans.lineage import Levels, cut, small
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -27,25 +27,20 @@ def callees(adj: DataFrame, target: str, cap: int = 20) -> DataFrame:
 def impact(adj: DataFrame, targets: DataFrame, depth: int = 6) -> DataFrame:
     """Reverse closure from targets (target): (target, node, level). A node counts at its first
     contact over any edge type; it is expanded if an edge of that level is of a reach type."""
-    seen = None
-    frontier = targets.select("target", F.col("target").alias("node"))
+    first = targets.select("target", F.col("target").alias("node"), F.lit(True).alias("expand"), F.lit(0).alias("level"))
+    seen = Levels(first.limit(0))
+    step = cut(first)
     for level in range(1, depth + 1):
-        front = small(cut(frontier))
+        front = small(step.where("expand").select("target", "node"))
         step = (
             adj.join(front, adj["dst"] == front["node"])
             .groupBy("target", F.col("src").alias("node"))
             .agg(F.max(F.col("type").isin(*S.REACH_EDGE_TYPES)).alias("expand"))
         )
-        if seen is not None:
-            step = step.join(seen.select("target", "node"), ["target", "node"], "left_anti")
-        step = cut(step.withColumn("level", F.lit(level)))
-        if not step.limit(1).count():
+        step = seen.append(step.join(seen.all().select("target", "node"), ["target", "node"], "left_anti").withColumn("level", F.lit(level)))
+        if not seen.n_rows:
             break
-        seen = step if seen is None else cut(seen.unionByName(step))
-        frontier = step.where("expand").select("target", "node")
-    if seen is None:
-        return targets.sparkSession.createDataFrame([], "target string, node string, level int")
-    return seen.select("target", "node", "level")
+    return seen.all().select("target", "node", "level")
 
 
 def impact_names(closure: DataFrame, nodes: DataFrame, kinds: tuple[str, ...], cap: int = 15) -> DataFrame:
@@ -73,22 +68,24 @@ def shortest_path(adj: DataFrame, seeds: DataFrame, targets: DataFrame, fanout_c
     the path, which compare as the queue would be served.
     """
     nb = cut(both_ways(adj, fanout_cap))
-    front = cut(seeds.select("seed", F.col("seed").alias("node"), F.array().cast("array<int>").alias("ord"), F.array("seed").alias("path")))
-    goal = cut(targets.select(F.col("target").alias("node")).distinct())
-    seen = front.select("seed", "node")
-    found = None
+    goal = small(cut(targets.select(F.col("target").alias("node")).distinct()))
+    start = seeds.select("seed", F.col("seed").alias("node"), F.array().cast("array<int>").alias("ord"), F.array("seed").alias("path"))
+    levels = Levels(start.distinct())
+    hit = lambda f: f.join(goal, "node", "left_semi").groupBy("seed").agg(F.min_by("path", "ord").alias("path"))
+    front, found = levels.all(), Levels(hit(levels.all()))
+    done = found.n_rows
     while True:
-        hit = cut(front.join(goal, "node", "left_semi").groupBy("seed").agg(F.min_by("path", "ord").alias("path")))
-        if found is None or hit.limit(1).count():
-            found = hit if found is None else cut(found.unionByName(hit))
-            front = front.join(hit.select("seed"), "seed", "left_anti")
-        f = small(cut(front))
-        step = f.join(nb, "node").select("seed", F.col("nb").alias("node"), F.concat("ord", F.array("pos")).alias("ord"), F.concat("path", F.array("nb")).alias("path"))
-        step = step.join(seen, ["seed", "node"], "left_anti").groupBy("seed", "node").agg(F.min_by(F.struct("ord", "path"), "ord").alias("b"))
-        front = cut(step.select("seed", "node", "b.ord", "b.path"))
-        if not front.limit(1).count():
+        left = front.join(found.all().select("seed"), "seed", "left_anti") if done else front
+        step = left.join(nb, "node").select("seed", F.col("nb").alias("node"), F.concat("ord", F.array("pos")).alias("ord"), F.concat("path", F.array("nb")).alias("path"))
+        step = step.join(levels.all().select("seed", "node"), ["seed", "node"], "left_anti").groupBy("seed", "node").agg(F.min_by(F.struct("ord", "path"), "ord").alias("b"))
+        front = levels.append(step.select("seed", "node", "b.ord", "b.path"))
+        if not levels.n_rows:
             break
-        seen = cut(seen.unionByName(front.select("seed", "node")))
+        new = front.join(goal, "node", "left_semi").limit(1).count()
+        if new:
+            found.append(hit(front))
+            done += found.n_rows
+    found = found.all()
     out = seeds.select("seed").join(found, "seed", "left")
     return out.select(
         "seed", F.col("path").isNotNull().alias("found"),
@@ -115,72 +112,81 @@ def neighbourhood(adj: DataFrame, seeds: DataFrame, depth: int = 2, cap: int = 1
 
 
 def reach(adj: DataFrame, nodes: DataFrame, seeds: DataFrame, limit: int = 400) -> DataFrame:
-    """(seed, n_reach): distinct existing nodes downstream of each seed, at most ``limit`` - 1. A
-    seed that has reached the limit is not expanded any more, so at most ``limit`` levels are walked."""
+    """(seed, n_reach): distinct existing nodes downstream of each seed, at most ``limit`` - 1.
+
+    A node with ``limit`` neighbours fills every seed that comes to it, so it needs no expansion, and
+    no list of neighbours is ever longer. A full seed is done; the others have few nodes each."""
     ids = nodes.select(F.col("id").alias("dst")).distinct()
-    live = cut(adj.join(ids, "dst", "left_semi").select("src", "dst").distinct())
-    start = seeds.select("seed", F.col("seed").alias("node"))
-    seen = cut(start)
-    front = seen
+    live = adj.join(ids, "dst", "left_semi").select("src", "dst").distinct()
+    # The rank is bounded before the shuffle, too, so a hub sends few rows per task.
+    w = Window.partitionBy("src").orderBy("dst")
+    live = cut(live.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit))
+    hubs = small(cut(live.where(F.col("r") == limit).select(F.col("src").alias("node"))))
+    live = live.select("src", "dst")
+    levels = Levels(seeds.select("seed", F.col("seed").alias("node")).distinct())
+    front, rows = levels.all(), levels.n_rows
+    full = Levels(front.join(hubs, "node", "left_semi").select("seed").distinct())
+    n_full = full.n_rows
     while True:
-        step = (
-            live.join(front, live["src"] == front["node"]).select("seed", F.col("dst").alias("node")).distinct()
-            .join(seen, ["seed", "node"], "left_anti")
-        )
-        step = cut(step)
-        if not step.limit(1).count():
+        open_ = (lambda df: df.join(full.all(), "seed", "left_anti")) if n_full else (lambda df: df)
+        step = live.join(open_(front), live["src"] == F.col("node")).select("seed", F.col("dst").alias("node")).distinct()
+        front = levels.append(step.join(levels.all(), ["seed", "node"], "left_anti"))
+        if not levels.n_rows:
             break
-        seen = cut(seen.unionByName(step))
-        full = seen.groupBy("seed").count().where(F.col("count") >= limit).select("seed")
-        front = step.join(full, "seed", "left_anti")
-    return seen.groupBy("seed").agg(F.least(F.count("*") - 1, F.lit(limit - 1)).cast("long").alias("n_reach"))
+        rows += levels.n_rows
+        if rows < limit:
+            continue  # no seed can be full yet
+        many = open_(levels.all()).groupBy("seed").count().where(F.col("count") >= limit).select("seed")
+        full.append(open_(many.union(front.join(hubs, "node", "left_semi").select("seed")).distinct()))
+        n_full += full.n_rows
+    counts = levels.all().groupBy("seed").agg((F.count("*") - 1).alias("n")).join(full.all().withColumn("full", F.lit(limit - 1)), "seed", "left")
+    return counts.select("seed", F.coalesce("full", F.least("n", F.lit(limit - 1))).cast("long").alias("n_reach"))
 
 
 def flow_candidates(nodes: DataFrame, edges: DataFrame, cap: int = 8) -> DataFrame:
     """(seed, kind, chain) of every endpoint (last handler, then three levels) and every other flow
     seed (four levels). Levels follow the flow edge types in order; when the chain is full, each
-    level still adds one node."""
-    walk = cut(
-        edges.where(F.col("type").isin(*S.FLOW_WALK_TYPES) & ~F.col("dst").startswith("unresolved:") & ~F.col("dst").startswith("stereotype:"))
-        .select("src", "dst", "edge_seq")
-    )
+    level still adds one node.
+
+    A level takes at most ``cap`` new nodes and a chain can hide no more than it holds, so of a
+    node's neighbours only the first ``cap`` + the longest chain can count. Chains are one row a seed."""
+    levels, longest = 4, cap + 4
+    walk = edges.where(F.col("type").isin(*S.FLOW_WALK_TYPES) & ~F.col("dst").startswith("unresolved:") & ~F.col("dst").startswith("stereotype:"))
+    walk = walk.groupBy("src", "dst").agg(F.min("edge_seq").alias("edge_seq"))
+    w = Window.partitionBy("src").orderBy("edge_seq", "dst")
+    walk = walk.withColumn("r", F.row_number().over(w)).where(F.col("r") <= cap + longest)
+    # One row a node: its next nodes in edge order.
+    walk = cut(walk.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("edge_seq", "dst"))).alias("next")))
     ep = nodes.where("kind = 'endpoint'").select(F.col("id").alias("seed"), "kind")
     last = edges.where("type = 'handled-by'").groupBy(F.col("src").alias("seed")).agg(F.max_by("dst", "edge_seq").alias("handler"))
-    ep = ep.join(last, "seed", "left")
     other = nodes.where(F.col("kind").isin(*S.FLOW_SEEDS)).select(F.col("id").alias("seed"), "kind", F.lit(None).cast("string").alias("handler"))
-    seeds = cut(ep.unionByName(other))
-    head = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("level"), F.lit(0).alias("pos"))
-    second = seeds.where("handler IS NOT NULL").select("seed", F.col("handler").alias("node"), F.lit(0).alias("level"), F.lit(1).alias("pos"))
-    chain = cut(head.unionByName(second))
-    front = cut(second.select("seed", "node", "pos").unionByName(head.join(seeds.where("kind != 'endpoint'").select("seed"), "seed", "left_semi").select("seed", "node", "pos")))
-    short = seeds.where("kind = 'endpoint'").select("seed")
-    for level in range(1, 5):
-        if level == 4:
-            front = front.join(short, "seed", "left_anti")
-        step = front.join(walk, front["node"] == walk["src"]).select("seed", F.col("dst").alias("node"), F.col("pos").alias("p"), "edge_seq")
-        step = step.join(chain.select("seed", "node"), ["seed", "node"], "left_anti")
-        step = step.groupBy("seed", "node").agg(F.min(F.struct("p", "edge_seq")).alias("o"))
-        size = chain.groupBy("seed").agg(F.count("*").alias("n"))
-        w = Window.partitionBy("seed").orderBy("o")
-        # The rank is bounded first, so that a hub keeps few rows per task before the shuffle.
-        step = step.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= cap).join(size, "seed")
-        step = cut(step.where(F.col("pos") <= F.greatest(F.lit(1), F.lit(cap) - F.col("n"))).select("seed", "node", F.lit(level).alias("level"), "pos"))
-        if not step.limit(1).count():
+    seeds = ep.join(last, "seed", "left").unionByName(other)
+    front = F.when(F.col("handler").isNotNull(), F.array("handler")).when(F.col("kind") != "endpoint", F.array("seed")).otherwise(F.array().cast("array<string>"))
+    chain = F.array_compact(F.array("seed", "handler"))
+    chains = cut(seeds.select("seed", "kind", chain.alias("chain"), front.alias("front")))
+    for level in range(1, levels + 1):
+        going = (F.size("front") > 0) & (F.lit(level < levels) | (F.col("kind") != "endpoint"))
+        each = chains.where(going).select("seed", "chain", F.posexplode("front").alias("pos", "node"))
+        step = each.join(walk, each["node"] == walk["src"]).select("seed", "chain", "pos", "next")
+        # Of one front node at most cap new nodes can count; then the fronts of a seed are put together.
+        fresh = F.slice(F.filter("next", lambda x: ~F.array_contains("chain", x["dst"])), 1, cap)
+        step = step.select("seed", F.struct("pos", fresh.alias("next")).alias("n"))
+        step = step.groupBy("seed").agg(F.flatten(F.transform(F.array_sort(F.collect_list("n")), lambda x: x["next"]["dst"])).alias("found"))
+        joined = chains.join(step, "seed", "left")
+        room = F.greatest(F.lit(1), cap - F.size("chain"))
+        fresh = F.when(going, F.coalesce(F.slice(F.array_distinct("found"), F.lit(1), room), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+        chains = cut(joined.select("seed", "kind", F.concat("chain", fresh).alias("chain"), fresh.alias("front")))
+        if not chains.where(F.size("front") > 0).limit(1).count():
             break
-        chain = cut(chain.unionByName(step))
-        front = step.select("seed", "node", "pos")
-    chains = chain.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("level", "pos", "node"))).alias("c"))
-    return seeds.select("seed", "kind").join(chains, "seed").select("seed", "kind", F.col("c.node").alias("chain"))
+    return chains.select("seed", "kind", "chain")
 
 
-def components_distance(adj: DataFrame, seeds: DataFrame, max_depth: int = 12) -> DataFrame:
+def components_distance(adj: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, dist): directed distance from the nearest seed."""
-    seen = cut(seeds.select("node", F.lit(0).alias("dist")))
-    front = seen
-    for d in range(1, max_depth + 1):
+    seen = Levels(seeds.select("node", F.lit(0).alias("dist")).distinct())
+    front, d = seen.all(), 0
+    while seen.n_rows:
+        d += 1
         step = adj.join(small(front.select("node")), adj["src"] == F.col("node")).select(F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen, "node", "left_anti").withColumn("dist", F.lit(d)))
-        if not front.limit(1).count():
-            break
-        seen = cut(seen.unionByName(front))
-    return seen
+        front = seen.append(step.join(seen.all().select("node"), "node", "left_anti").withColumn("dist", F.lit(d)))
+    return seen.all()

@@ -9,15 +9,15 @@ from waymark import schema as S
 from waymark.operators.build import union_all, with_placeholder
 
 
-def _malformed(col) -> F.Column:
+def malformed_id(col) -> F.Column:
     return (F.length(col) > S.MAX_ID_LENGTH) | col.rlike(r"[\x00-\x1F]")
 
 
 def malformed_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(what, id): ids that are too long or hold control characters; an edge is told once."""
     c = F.col
-    n = nodes.where(_malformed(c("id"))).select(F.lit("node").alias("what"), "id")
-    e = edges.where(_malformed(c("src")) | _malformed(c("dst"))).select(F.lit("edge").alias("what"), F.concat("src", F.lit(" -> "), "dst").alias("id"))
+    n = nodes.where(malformed_id(c("id"))).select(F.lit("node").alias("what"), "id")
+    e = edges.where(malformed_id(c("src")) | malformed_id(c("dst"))).select(F.lit("edge").alias("what"), F.concat("src", F.lit(" -> "), "dst").alias("id"))
     return n.unionAll(e)
 
 

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table may be broadcast; beyond that Spark chooses a shuffle join.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes up to which a table may be broadcast; beyond that Spark chooses a shuffle join.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a
+    temporary one on a single machine, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         path = "file://" + tempfile.mkdtemp(prefix="waymark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -29,6 +35,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a materialised table, behind a check of its size."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+class Levels:
+    """A table that a loop adds to, a part at a time. A part is written once; all() reads them all, as
+    one scan. n_rows is the last part's number of rows."""
+
+    def __init__(self, first: DataFrame):
+        self.spark = first.sparkSession
+        self.path = f"{shared_dir(self.spark)}/waymark-{uuid.uuid4().hex}"
+        self.schema = first.schema
+        self.n, self.n_rows = 0, 0
+        self.append(first)
+
+    def append(self, part: DataFrame) -> DataFrame:
+        """Adds the rows; they come back as a table of their own."""
+        path = f"{self.path}/waymark_part={self.n}"
+        part.select(self.schema.names).write.parquet(path)
+        self.n += 1
+        out = self.spark.read.schema(self.schema).parquet(path)
+        self.n_rows = out.count()
+        return out
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).select(self.schema.names)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for a materialised table of at most ``rows`` rows and ``most`` bytes. Beyond that
+    Spark picks a shuffle join, whose hot keys adaptive execution splits."""
+    fixed = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8}
+    width = sum(fixed.get(t, 0) for _, t in df.dtypes)
+    wide = [F.coalesce(F.octet_length(F.to_json(F.struct(c)) if t not in ("string", "binary") else F.col(c)), F.lit(0)) for c, t in df.dtypes if t not in fixed]
+    size = F.sum(sum(wide, F.lit(width))) if wide else F.count("*") * width
+    n, held = df.limit(rows + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= most else df

@@ -97,8 +97,10 @@ def calls(line: Line) -> Iterator[tuple[str | None, str]]:
 
 
 def walk(out: Emitter, text: str, lang: Language, kind_of: Callable[[Line, str], str], type_id: Callable[[str, str], str],
-         method_id: Callable[[str, str], str], function_id: Callable[[str], str], name: str) -> list[Line]:
-    """Types, callables and same-file calls; returns the outline for what a language adds."""
+         method_id: Callable[[str, str], str], function_id: Callable[[str], str], name: str,
+         typed: Callable[[str], str | None] = lambda _: None) -> list[Line]:
+    """Types, callables and calls; returns the outline for what a language adds. ``typed`` names the
+    type of a receiver that is a variable."""
     fid = f"file:{out.path}"
     lines = outline(text, lang)
     kinds: dict[str, str] = {}
@@ -136,6 +138,8 @@ def walk(out: Emitter, text: str, lang: Language, kind_of: Callable[[Line, str],
                 dst, conf, via = method_id(receiver, target), "HIGH", "same-file"
             elif receiver[:1].isupper() and receiver not in ("Self",):
                 dst, conf, via = f"unresolved:method:{receiver}#{target}", "LOW", "static"
+            elif of := typed(receiver):
+                dst, conf, via = f"unresolved:method:{of}#{target}", "MEDIUM", "receiver"
             else:
                 continue
             if dst != src:
@@ -163,6 +167,8 @@ _TS = Language(
     re.compile(r"^[ \t]*@\w+"),
 )
 _METHOD_KEY = re.compile(r"[{,]\s*method\s*(?::\s*(?:['\"`](\w+)['\"`])?|[,}])")
+_BRACKET = re.compile(_STRING.pattern + r"|[()]", re.S)
+_HOOK = re.compile(r"\b(useQuery|useMutation)\b")
 _SENDS = (
     re.compile(r"\.http\s*\.\s*(get|post|put|delete|patch)\s*(?:<[^>\n]*>)?\(\s*['\"`]([^'\"`\n]*)['\"`]"),
     re.compile(r"\.http\s*\.\s*request\s*\(\s*['\"`](\w+)['\"`]\s*,\s*['\"`]([^'\"`\n]*)['\"`]"),
@@ -170,25 +176,40 @@ _SENDS = (
 )
 
 
+#: In the order in which they are looked for.
+TS_FRAMEWORKS = (
+    ("angular", r"@angular/|@Component|loadComponent"), ("react", r"from ['\"]react['\"]|react-router"),
+    ("vue", r"from ['\"]vue['\"]|vue-router|(?s:<template>.*<script|<script.*<template>)"), ("svelte", r"svelte"),
+)
+
+
+def framework_of(text: str) -> str:
+    """The first of the known frameworks that a source names."""
+    return next((name for name, pattern in TS_FRAMEWORKS if re.search(pattern, text)), "")
+
+
 def _url(url: str) -> str | None:
+    """A literal path for matching, as functions.text.norm_url; longer ones are none."""
     url = re.split(r"\?|\$\{|\{", url)[0]
     if not url.startswith("/"):
         return None
-    return re.sub(r"/\d+$", "/{id}", url.rstrip("/") or "/")[:400]
+    url = re.sub(r"/\d+$", "/{id}", url.rstrip("/") or "/")
+    return url if len(url) <= 400 else None
 
 
 def _options(text: str, at: int) -> str:
     """What stands between ``at`` and the parenthesis that closes the call."""
-    depth, start = 1, at
-    while at < len(text) and depth and at - start < 2000:
-        depth += {"(": 1, ")": -1}.get(text[at], 0)
-        at += 1
-    return text[start : at - 1]
+    depth = 1
+    for m in _BRACKET.finditer(text, at):
+        depth += {"(": 1, ")": -1}.get(m[0], 0)
+        if not depth:
+            return text[at : m.start()]
+    return text[at:]
 
 
 @extractor("typescript", lambda p: ends(".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte")(p) and not p.endswith(".d.ts"))
 def typescript(out: Emitter, text: str) -> None:
-    fid = out.file("test" if ".spec" in out.path or ".test" in out.path else "source", lang="typescript")
+    fid = out.file("test" if ".spec" in out.path or ".test" in out.path else "source", lang="typescript", framework=framework_of(text))
 
     def kind_of(x: Line, _: str) -> str:
         word, name = x.declares
@@ -206,7 +227,7 @@ def typescript(out: Emitter, text: str) -> None:
     lines = walk(out, text, _TS, kind_of, lambda k, n: f"ts:{k}:{n}", lambda c, m: f"ts:class:{c}#{m}", lambda f: f"ts:func:{f}", "typescript")
     for m in re.finditer(r"^[ \t]*import\b[^'\"`;]*['\"`](\.[^'\"`\n]*)['\"`]", text, re.M):
         out.edge(fid, f"unresolved:module:{m[1]}", "imports", line_at(text, m.start(1)), "MEDIUM")
-    if re.search(r"react|jsx", text[:4000]) or out.path.endswith(("x",)):
+    if re.search(r"react|jsx", text) or out.path.endswith(("x",)):
         for x in lines:
             if x.defines and not x.owner and x.defines[:1].isupper():
                 out.edge(fid, out.node(f"ts:component:{x.defines}", "component", x.defines, x.number, "MEDIUM", framework="react"), "defines", x.number, "MEDIUM")
@@ -219,26 +240,32 @@ def typescript(out: Emitter, text: str) -> None:
                 out.edge(rid, f"unresolved:guard:{guard}", "guarded-by", n, "MEDIUM")
             for comp in re.findall(r"loadComponent\s*:.*?\bm\.(\w+)|\bcomponent\s*:\s*(\w+)", near):
                 out.edge(rid, f"unresolved:component:{comp[0] or comp[1]}", "navigates", n, "HIGH")
-    sent: list[tuple[int, str, str]] = []
+    sent: list[tuple[int, int, str, str, str]] = []  # start, end, verb, path, hook
     for pattern in _SENDS:
-        sent += [(m.start(), m[1].upper(), m[2]) for m in pattern.finditer(text)]
+        sent += [(m.start(), m.end(), m[1].upper(), m[2], "") for m in pattern.finditer(text)]
     for m in re.finditer(r"\bfetch\s*\(\s*['\"`]([^'\"`\n]*)['\"`]", text):
-        rest = _options(text, m.end()).lstrip(", \n\t")
+        rest = _options(text, m.end())
+        end, rest = m.end() + len(rest), rest.lstrip(", \n\t")
         verb = "GET"
         if rest:
             key = _METHOD_KEY.search(rest)
             verb = (key[1] or "*").upper() if key else "GET" if rest.startswith("{") else "*"
-        sent.append((m.start(), verb, m[1]))
+        hooks = _HOOK.findall(text, max(0, m.start() - 500), m.start())
+        sent.append((m.start(), end, verb, m[1], hooks[-1] if hooks else ""))
     for m in re.finditer(r"(?:\baxios|(?<![\w$])\$http)\s*\(\s*(\{)", text):
         body = _options(text, m.start(1))
         url, key = re.search(r"\burl\s*:\s*['\"`]([^'\"`\n]*)['\"`]", body), _METHOD_KEY.search(body)
         if url:
-            sent.append((m.start(), (key[1] or "*").upper() if key else "GET", url[1]))
-    for at, verb, url in sorted(sent):
+            sent.append((m.start(), m.start(1) + len(body), (key[1] or "*").upper() if key else "GET", url[1], ""))
+    done = 0
+    for at, end, verb, url, hook in sorted(sent):
+        if at < done:  # inside a call that is told already
+            continue
+        done = end
         if path := _url(url):
             n = line_at(text, at)
-            eid = out.node(f"endpoint:{verb} {path}", "endpoint", f"{verb} {path}", n, "LOW", via="http-client")
-            out.edge(fid, eid, "consumes", n, "LOW", via="http-client")
+            eid = out.node(f"endpoint:{verb} {path}", "endpoint", f"{verb} {path}", n, "LOW", via="http-client", hook=hook)
+            out.edge(fid, eid, "consumes", n, "LOW", via="http-client", hook=hook)
 
 
 # --- Java
@@ -275,7 +302,8 @@ def java(out: Emitter, text: str) -> None:
 
     type_id = lambda _, n: f"java:class:{full(n)}"
     method_id = lambda c, m: f"java:method:{full(c)}#{m}"
-    lines = walk(out, text, _JAVA, kind_of, type_id, method_id, lambda f: f"java:method:{full('')}#{f}", "java")
+    fields = {m[2]: m[1] for m in re.finditer(r"(?m)^\s*private\s+(?:static\s+)?(?:final\s+)?([A-Z]\w*)(?:<[^>]*>)?\s+(\w+)\s*[;=]", blanked(text))}
+    lines = walk(out, text, _JAVA, kind_of, type_id, method_id, lambda f: f"java:method:{full('')}#{f}", "java", fields.get)
     base = ""
     for x in lines:
         notes = " ".join(x.notes)
@@ -317,6 +345,13 @@ def java(out: Emitter, text: str) -> None:
         for m in re.finditer(r"\bnew\s+([A-Z]\w*)\s*\(", x.code):
             if m[1] != x.owner:
                 out.edge(src, f"unresolved:class:{m[1]}", "references", x.number, "LOW")
+        # Annotations on the line of a declaration; those on lines of their own are notes.
+        if not x.raw.lstrip().startswith("@"):
+            if x.defines and x.owner and (m := re.search(r"@Scheduled\s*(\([^)]*\))?", x.raw)):
+                out.node("schedule:cron", "schedule", "cron", x.number, "MEDIUM", lang="java", framework="spring")
+                out.edge(src, "schedule:cron", "triggered-by", x.number, "HIGH", schedule=m[1] or "")
+            if m := re.search(r"@Value\s*\(\s*\"([^\"]+)\"", x.raw):
+                out.edge(src, f"config-key:{m[1]}", "configures", x.number, "HIGH", lang="java")
         for seq in re.findall(r"nextval\s*\(\s*'([^']+)'", x.raw):
             out.edge(src, f"sequence:{seq}", "invokes", x.number, "MEDIUM")
     literal_sql(out, text, lines, lambda x: method_id(x.owner, x.callable) if x.owner and x.callable else fid, "MEDIUM")
@@ -346,7 +381,8 @@ def csharp(out: Emitter, text: str) -> None:
 
     type_id = lambda _, n: f"cs:class:{full(n)}"
     method_id = lambda c, m: f"cs:method:{full(c)}#{m}"
-    lines = walk(out, text, _CS, kind_of, type_id, method_id, lambda f: f"cs:method:{full('')}#{f}", "csharp")
+    variable = lambda r: r if r[:1].islower() else None
+    lines = walk(out, text, _CS, kind_of, type_id, method_id, lambda f: f"cs:method:{full('')}#{f}", "csharp", variable)
     for m in re.finditer(r"^\s*using\s+([\w.]+)\s*;", text, re.M):
         out.edge(fid, f"unresolved:module:{m[1]}", "imports", line_at(text, m.start(1)), "MEDIUM")
     for m in re.finditer(r"app\.Map(Get|Post|Put|Delete|Patch)\s*\(\s*\"([^\"]+)\"", text):
@@ -369,6 +405,8 @@ def csharp(out: Emitter, text: str) -> None:
             for kind in ("reads", "writes"):
                 out.edge(type_id("", x.owner) if x.owner else fid, tid, kind, x.number, "HIGH", via="ef")
             out.edge(type_id("", x.owner) if x.owner else fid, f"entity:{m[1]}", "reads", x.number, "MEDIUM")
+        if x.defines and x.owner and re.search(r"RecurringJob\.AddOrUpdate|BackgroundJob\.(?:Enqueue|Schedule)", x.raw):
+            out.edge(method_id(x.owner, x.defines), "schedule:cron", "triggered-by", x.number, "MEDIUM", lang="csharp")
         if x.defines and x.owner and (m := re.search(r"\[Http(Get|Post|Put|Delete|Patch)(?:\s*\(\s*\"([^\"]*)\")?", notes)):
             route = f"{m[1].upper()} /{(m[2] or '').lstrip('/')}"
             out.edge(out.node(f"endpoint:{route}", "endpoint", route, x.number, "HIGH", lang="csharp"), method_id(x.owner, x.defines), "handled-by", x.number, "HIGH")

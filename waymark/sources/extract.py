@@ -4,8 +4,8 @@ One Arrow pass turns (path, text) into emissions; a file whose extractor fails y
 and what it had emitted before, never a failed job. Emissions become nodes and edges by first-wins
 over (place of the file in the walk, place in the file).
 
-Here: Python (syntax tree), SQL, Go, configuration files, and the textual fallback for languages
-without an extractor (nothing above LOW there). Brace languages are in braces.py.
+Here: Python (syntax tree), SQL, Go, and the textual fallback for languages without an extractor
+(nothing above LOW there). Brace languages are in braces.py, configuration files in configs.py.
 """
 
 from __future__ import annotations
@@ -34,7 +34,10 @@ NOT_TABLES = frozenset(
 )
 #: Names of Python modules that are no architecture.
 PLAIN_MODULES = frozenset(("os", "sys", "re", "json", "datetime", "typing", "pathlib"))
-DATABASES = ("postgresql", "mysql", "mariadb", "mongodb", "redis", "oracle", "sqlserver", "sqlite")
+#: In the order in which they are looked for.
+PYTHON_FRAMEWORKS = {
+    "fastapi": ("fastapi", "FastAPI"), "flask": ("flask", "Flask"), "django": ("django", "DJANGO"), "celery": ("celery", "Celery"), "click": ("click",),
+}
 TABLE_AFTER = re.compile(r"\b(?:FROM|JOIN|INTO|UPDATE|TABLE)\s+(?:ONLY\s+)?[\"'`]?([A-Za-z_][\w.]*)", re.I)
 FIRST_VERB = re.compile(r"\b(SELECT|INSERT|UPDATE|DELETE)\b", re.I)
 
@@ -100,8 +103,8 @@ class _Python(ast.NodeVisitor):
     VERBS = frozenset(("get", "post", "put", "delete", "patch", "head", "options"))
     SINKS = frozenset(("execute", "executemany", "raw", "query", "text", "createQuery"))
 
-    def __init__(self, out: Emitter, tree: ast.Module):
-        self.out, self.fid = out, f"file:{out.path}"
+    def __init__(self, out: Emitter, tree: ast.Module, framework: str = ""):
+        self.out, self.fid, self.framework = out, f"file:{out.path}", framework
         self.owner: list[str] = []
         self.scope: list[str] = []
         self.functions = {n.name for n in tree.body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)}
@@ -141,7 +144,11 @@ class _Python(ast.NodeVisitor):
             text = ast.unparse(d)
             if re.search(r"\b(task|shared_task|periodic_task|scheduled?)\b", text):
                 kind = "job"
-        self.out.node(fid, kind, node.name, node.lineno, "HIGH", lang="python")
+            if re.search(r"\bclick\.(?:command|group)\b", text):
+                at = d.lineno
+                hid = self.out.node(f"handler:{self.out.path}:{at}", "handler", f"cli@{os.path.basename(self.out.path)}:{at}", at, "MEDIUM", lang="python", framework="click")
+                self.out.edge(self.fid, hid, "defines", at, "HIGH")
+        self.out.node(fid, kind, node.name, node.lineno, "HIGH", lang="python", framework=self.framework)
         self.out.edge(self.fid, fid, "defines", node.lineno, "HIGH")
         if owner:
             self.out.edge(f"py:class:{owner}", fid, "defines", node.lineno, "HIGH")
@@ -174,6 +181,8 @@ class _Python(ast.NodeVisitor):
         name = f.attr if isinstance(f, ast.Attribute) else f.id if isinstance(f, ast.Name) else ""
         if name in self.SINKS and node.args:
             self._sql(src, node)
+        if name == "path" and len(node.args) > 1 and isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, str):
+            self._django(node.args[0].value, node.args[1], node.lineno)
         if isinstance(f, ast.Name) and f.id in self.functions and self.scope:
             if (dst := f"py:function:{f.id}") != src:
                 self.out.edge(src, dst, "calls", node.lineno, "HIGH", via="same-file")
@@ -184,6 +193,14 @@ class _Python(ast.NodeVisitor):
             self.out.edge(src, f"entity:{node.args[0].id}", "queries", node.lineno, "MEDIUM", via="orm")
         self.generic_visit(node)
 
+    def _django(self, route: str, handler: ast.expr, line: int) -> None:
+        """path(route, handler) with a handler by (dotted) name."""
+        short = handler.attr if isinstance(handler, ast.Attribute) else handler.id if isinstance(handler, ast.Name) else ""
+        if short:
+            name = f"GET /{route.strip('/')}"
+            eid = self.out.node(f"endpoint:{name}", "endpoint", name, line, "MEDIUM", lang="python", framework="django", handler=short)
+            self.out.edge(eid, f"unresolved:handler:{short}", "handled-by", line, "LOW", lang="python")
+
     def visit_Attribute(self, node: ast.Attribute) -> None:
         if isinstance(node.value, ast.Name) and node.value.id[:1].isupper() and node.attr in ("objects", "query"):
             kind = "reads" if node.attr == "objects" else "queries"
@@ -210,19 +227,26 @@ class _Python(ast.NodeVisitor):
             self.out.edge(src, "unresolved:query:dynamic", "queries", node.lineno, "LOW", via="sql-string")
 
 
+def framework_of(text: str) -> str:
+    """The first of the known frameworks that a source names."""
+    return next((f for f, words in PYTHON_FRAMEWORKS.items() if any(w in text for w in words)), "")
+
+
 @extractor("python", ends(".py"))
 def python(out: Emitter, text: str) -> None:
     base = os.path.basename(out.path)
     out.file("test" if "test" in out.path or base.startswith("conftest") else "source", lang="python")
     tree = ast.parse(text)
-    _Python(out, tree).visit(tree)
+    _Python(out, tree, framework_of(text)).visit(tree)
     for i, line in enumerate(text.splitlines(), 1):
         m = re.search(r"\b(?:requests|httpx|aiohttp|urllib)\.(get|post|put|delete|patch)\(\s*f?[\"'](/[^\"'?{]*)", line)
         if m:
             route = f"{m[1].upper()} {m[2]}"
             out.node(f"endpoint:{route}", "endpoint", route, i, "LOW", via="http-client")
             out.edge(f"file:{out.path}", f"endpoint:{route}", "consumes", i, "MEDIUM", via="http-client")
-        if re.search(r"\bredis\.(?:Redis|StrictRedis|from_url)\(", line):
+        for name in re.findall(r"\.\s*(?:get_collection|Collection)\s*\(\s*[\"']([\w-]+)[\"']", line):
+            out.edge(f"file:{out.path}", f"collection:{name}", "reads", i, "MEDIUM", via="pymongo")
+        if re.search(r"\bredis\w*\s*\.\s*(?:Redis|StrictRedis|from_url|get|set|hget|hset|lpush|rpush|publish|expire)\s*\(", line):
             out.edge(f"file:{out.path}", "cache:redis", "writes", i, "LOW", via="redis")
 
 
@@ -370,58 +394,44 @@ def go(out: Emitter, text: str) -> None:
                 out.edge(fid, f"table:{table}", "writes" if verbs and verbs[-1].upper() != "SELECT" else "reads", i, "LOW", via="sql-string")
 
 
-# --- configuration
+# --- Python that does not parse: the same shapes, line by line
 
-_CONFIG = (".properties", ".yml", ".yaml", ".toml", ".ini", ".cfg", ".json", ".env.example", "dockerfile", "requirements.txt")
-_SHALLOW = re.compile(r"^[ ]{0,2}[\"']?([A-Za-z_][\w.-]*)[\"']?\s*[:=]")
 
-
-@extractor("config", lambda p: p.lower().endswith(_CONFIG))
-def config(out: Emitter, text: str) -> None:
-    """Key names only; values are looked at for database URLs and variables, and never stored."""
-    base = os.path.basename(out.path)
-    fid = out.file("config")
-    low = base.lower()
-    if low.startswith(".env"):
-        for i, line in enumerate(text.splitlines(), 1):
-            if m := re.match(r"\s*(?:export\s+)?([A-Za-z_]\w*)\s*=", line):
-                out.edge(fid, out.node(f"env:{m[1]}", "environment", m[1], i, "HIGH"), "configures", i, "HIGH")
-        return
-    if low == "dockerfile":
-        unit = out.node(f"deploy:{out.path}", "deployment-unit", base, 1, "MEDIUM")
-        for i, line in enumerate(text.splitlines(), 1):
-            if m := re.match(r"\s*FROM\s+(\S+)", line, re.I):
-                out.edge(unit, out.node(f"external:image:{m[1]}", "external-service", m[1], i, "LOW"), "depends-on", i, "LOW")
-        return
-    if low == "package.json":
-        data = json.loads(text)
-        for name in list(data.get("scripts", {}))[:40]:
-            out.edge(fid, out.node(f"handler:npm:{name}", "handler", name, 1, "MEDIUM"), "defines", 1, "MEDIUM")
-        for name in [*data.get("dependencies", {}), *data.get("devDependencies", {})][:80]:
-            out.edge(fid, f"unresolved:module:npm:{name}", "depends-on", 1, "MEDIUM")
-        return
-    if low == "requirements.txt":
-        names = [(i, m[1]) for i, x in enumerate(text.splitlines(), 1) if (m := re.match(r"\s*([A-Za-z][\w.-]*)", x))]
-        for i, name in names[:80]:
-            out.edge(fid, f"unresolved:module:pip:{name}", "depends-on", i, "MEDIUM")
-        return
-    flat = low.endswith((".properties", ".ini", ".cfg"))
-    cid = out.node(f"config:{out.path}", "configuration", base, 1, "HIGH" if flat else "MEDIUM")
-    if not flat and text.count("\n") < 20 and len(text) > 200_000:
-        return
-    seen: set[str] = set()
+def loose_python(out: Emitter, text: str) -> None:
+    """Imports, classes, functions and their routes by the look of lines; owners by indentation."""
+    fid, framework = f"file:{out.path}", framework_of(text)
+    owner, pending = [], []  # (indent, class) and the decorators above
     for i, line in enumerate(text.splitlines(), 1):
-        m = re.match(r"\s*([^#;!\s=][^=]*?)\s*=", line) if flat else _SHALLOW.match(line)
-        if m and m[1] not in seen and (flat or len(seen) < 60):
-            seen.add(m[1])
-            conf = "HIGH" if flat else "LOW"
-            out.edge(cid, out.node(f"config-key:{m[1]}", "configuration-key", m[1], i, conf), "configures", i, conf)
-        for db in re.findall(r"(?:jdbc:)?(\w+)(?:\+\w+)?://|jdbc:(\w+):", line):
-            name = (db[0] or db[1]).lower().replace("postgres", "postgresql").replace("postgresqlql", "postgresql")
-            if name in DATABASES:
-                out.edge(cid, out.node(f"external:{name}", "external-service", name, i, "HIGH"), "depends-on", i, "HIGH")
-        for var in re.findall(r"\$\{([A-Z_][A-Z0-9_]*)", line):
-            out.edge(cid, f"env:{var}", "depends-on", i, "HIGH")
+        code = line.strip()
+        if not code or code.startswith("#"):
+            continue
+        indent = len(line) - len(line.lstrip())
+        while owner and owner[-1][0] >= indent:
+            owner.pop()
+        if m := re.match(r"(?:from\s+([\w.]+)\s+import\b|import\s+([\w.]+))", code):
+            if (name := m[1] or m[2]).split(".")[0] not in PLAIN_MODULES:
+                out.edge(fid, f"unresolved:module:{name}", "imports", i, "MEDIUM", lang="python")
+        elif code.startswith("@"):
+            pending.append((i, code))
+            continue
+        elif m := re.match(r"class\s+(\w+)", code):
+            kind = "test" if "Test" in m[1] or "test" in out.path else "class"
+            out.edge(fid, out.node(f"py:class:{m[1]}", kind, m[1], i, "HIGH", lang="python"), "defines", i, "HIGH")
+            owner.append((indent, m[1]))
+        elif m := re.match(r"(?:async\s+)?def\s+(\w+)", code):
+            own = owner[-1][1] if owner else None
+            job = any(re.search(r"\b(?:task|shared_task|periodic_task|scheduled?)\b", d) for _, d in pending)
+            nid = f"py:class:{own}#{m[1]}" if own else f"py:function:{m[1]}"
+            out.node(nid, "job" if job else "method" if own else "function", m[1], i, "HIGH", lang="python", framework=framework)
+            out.edge(fid, nid, "defines", i, "HIGH")
+            if own:
+                out.edge(f"py:class:{own}", nid, "defines", i, "HIGH")
+            for at, d in pending:
+                if r := re.match(r"@\w+\.(get|post|put|delete|patch|head|options|route)\(\s*[\"']([^\"']*)[\"']", d):
+                    verbs = "/".join(re.findall(r"[\"'](\w+)[\"']", d.partition("methods")[2])).upper() if r[1] == "route" else r[1].upper()
+                    route = f"{verbs or 'GET'} {r[2]}"
+                    out.edge(out.node(f"endpoint:{route}", "endpoint", route, at, "HIGH", lang="python"), nid, "handled-by", at, "HIGH")
+        pending = []
 
 
 # --- fallback
@@ -448,7 +458,7 @@ def fallback(out: Emitter, text: str) -> None:
 
 
 def _load() -> None:
-    from waymark.sources import braces  # noqa: F401  registers its extractors
+    from waymark.sources import braces, configs  # noqa: F401  register their extractors
 
 
 def extractors_for(path: str) -> list[str]:
@@ -468,6 +478,7 @@ def extract_text(path: str, text: str) -> tuple[list[dict], list[str]]:
         except Exception as e:  # one bad file never fails the scan
             errors.append(f"{path} [{name.upper()}]: {e}")
             if name == "python":
+                loose_python(out, text)
                 fallback(out, text)
     return out.rows, errors
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,13 +58,57 @@ def wanted(path: Column, length: Column, skip_dirs: tuple[str, ...] = SKIP_DIRS,
     return known & ~name.isin(*SECRET_FILES) & ~bad_end & ~skipped & (length <= max_bytes) & ~ignored(path, patterns or [])
 
 
-def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def small_file(spark: SparkSession, path: str) -> str:
+    """The text of one small file beside the sources, hidden ones included; empty if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return ""
+    stream = fs.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+    finally:
+        stream.close()
+
+
+def scan_config(spark: SparkSession, path: str) -> tuple[list[str], int]:
+    """(ignore patterns, most bytes) of a JSON configuration; the defaults where it is missing or no
+    object, or where a value has another type."""
+    try:
+        config = json.loads(small_file(spark, path) or "{}")
+    except ValueError:
+        config = {}
+    config = config if isinstance(config, dict) else {}
+    patterns, most = config.get("ignore"), config.get("max_file_bytes")
+    patterns = [p for p in patterns if isinstance(p, str)] if isinstance(patterns, list) else []
+    return patterns, most if isinstance(most, int) and most > 0 else MAX_FILE_BYTES
+
+
+def own_prefixes(root: str, install: str | None = None) -> list[str]:
+    """Path prefixes of this engine's own install, as ignore patterns, where it lies below ``root``."""
+    install = install or os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    rel = os.path.relpath(install, os.path.abspath(root)).replace(os.sep, "/")
+    return [] if rel == "." or rel == ".." or rel.startswith("../") else [rel.rstrip("/") + "/"]
+
+
+def scan_tree(spark: SparkSession, root: str, map_dir: str | None = None) -> DataFrame:
+    """scan() as a map is built: with the folder names of the root's .gitignore, the patterns and the
+    size of the map's configuration, and without the map's and this engine's own folders."""
+    patterns, most = scan_config(spark, f"{root}/{map_dir}/config.json") if map_dir else ([], MAX_FILE_BYTES)
+    lines = [(x,) for x in small_file(spark, f"{root}/.gitignore").splitlines()]
+    ignore = [r["name"] for r in gitignore_dirs(spark.createDataFrame(lines, "value string")).collect()]
+    folders = (*SKIP_DIRS, *ignore, *([map_dir.split("/")[0]] if map_dir else []))
+    return scan(spark, root, patterns + own_prefixes(root), most, folders)
+
+
+def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES,
+         skip_dirs: tuple[str, ...] = SKIP_DIRS) -> DataFrame:
     """(path, length, content, sha256) of the wanted files below ``root``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://", 1)[-1]
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + "".join("\\" + c if not c.isalnum() else c for c in base) + "/", "")
     files = files.withColumn("path", rel)
-    return files.where(wanted(F.col("path"), F.col("length"), patterns=patterns, max_bytes=max_bytes)).select(
+    return files.where(wanted(F.col("path"), F.col("length"), skip_dirs, patterns, max_bytes)).select(
         "path", "length", "content", F.sha2("content", 256).alias("sha256")
     )
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from waymark.operators.build import add_edges, add_nodes
-from waymark.operators.validate import freshness
+from waymark.functions.text import extension
+from waymark.operators.build import add_edges, add_nodes, union_all
+from waymark.operators.validate import diff_edges, diff_nodes, freshness, malformed_id
+from waymark.plans.lineage import cut
+from waymark.sources import store
 from waymark.sources.extract import build
+from waymark.sources.files import CONFIG_NAMES, SOURCE_EXTS
 
 
 def sync(nodes: DataFrame, edges: DataFrame, tracked: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -34,3 +38,57 @@ def sync(nodes: DataFrame, edges: DataFrame, tracked: DataFrame, files: DataFram
 def stream(changes: DataFrame, apply, checkpoint: str) -> StreamingQuery:
     """Runs ``apply(batch, batch_id)`` on each micro-batch of changed files (a readStream)."""
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
+
+
+def relevant(changed: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
+    """Of changed paths those that an extractor may claim: by extension, by name, or a CI workflow."""
+    path = F.col("path")
+    name = F.element_at(F.split(path, "/"), -1)
+    keep = extension(path).isin(*SOURCE_EXTS) | name.isin(*CONFIG_NAMES) | path.startswith(".github/workflows/")
+    for s in skip:
+        keep = keep & ~path.startswith(s.rstrip("/") + "/")
+    return changed.where(keep).select("path").distinct()
+
+
+def purge_malformed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph without ids that are too long or hold control characters, and without edges at them.
+    An edge at such a node has the same bad id, so no join is needed."""
+    bad = malformed_id(F.col("src")) | malformed_id(F.col("dst"))
+    return nodes.where(~F.coalesce(malformed_id(F.col("id")), F.lit(False))), edges.where(~F.coalesce(bad, F.lit(False)))
+
+
+def change_record(files: DataFrame, nodes: DataFrame, edges: DataFrame, most_files: int = 30, most: int = 40) -> DataFrame:
+    """(section, place, line) of a change record: changed files (path), and the first significant nodes
+    (of diff_nodes) and edges (of diff_edges) that came or went. No row if neither did."""
+    none = F.lit("")
+
+    def top(df: DataFrame, section: str, order: list[str], line, cap: int) -> DataFrame:
+        return df.orderBy(*order).limit(cap).select(F.lit(section).alias("section"), F.concat_ws("\x00", *order).alias("place"), line.alias("line"))
+
+    node = lambda was: F.concat(F.lit("- `"), "name", F.lit("` ("), "kind", F.lit(f", {was}`"), F.coalesce("file", none), F.lit("`)"))
+    keys = ["id", "kind", "name", "file"]
+    parts = [
+        top(files, "1 files", ["path"], F.concat(F.lit("- `"), "path", F.lit("`")), most_files),
+        top(nodes.where("op = 'added'"), "2 added", keys, node(""), most),
+        top(nodes.where("op = 'removed'"), "3 removed", keys, node("was "), most),
+        top(edges, "4 relationships", ["src", "dst", "type"], F.concat(F.lit("- `"), "src", F.lit("` —"), "type", F.lit("→ `"), "dst", F.lit("`")), most),
+    ]
+    changed = nodes.select(F.lit(1).alias("x")).limit(1).unionAll(edges.select(F.lit(1).alias("x")).limit(1)).limit(1)
+    return union_all(parts).join(F.broadcast(changed), F.lit(True), "left_semi")
+
+
+def sync_map(spark: SparkSession, folder: str, files: DataFrame, commit: str | None = None, time: str | None = None) -> DataFrame:
+    """Brings the stored graph up to date with ``files`` (path, content, sha256) and saves it; the
+    change record comes back and is written beside the snapshots. Without a change nothing is saved."""
+    old = store.load_migrated(spark, folder)
+    nodes, edges, states = sync(old.nodes, old.edges, old.hashes, files)
+    states = cut(states.where("state != 'fresh'"))
+    nodes, edges = purge_malformed(nodes, edges)
+    if not states.limit(1).count():
+        none = old.nodes.where("false")
+        return change_record(states.select("path"), none.withColumn("op", F.lit("")), old.edges.where("false"))
+    new = store.save(nodes, edges, files, folder, commit, time, old.flows)
+    lines = cut(change_record(states.select("path"), diff_nodes(old.nodes, new.nodes), diff_edges(old.edges, new.edges)))
+    if lines.limit(1).count():
+        lines.orderBy("section", "place").select("line").coalesce(1).write.text(f"{folder}/changes/{new.state['seq']:06d}")
+    return lines
