@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, materialise, table
 
 _MARKS = re.compile(r"^[ \t]{0,3}((?:>[ \t]?)+)")
-_INTRO = re.compile(r"^(?:on\b.{0,200}\bwrote|.{1,80}\b(?:wrote|schrieb|a écrit|escribió))\s*:\s*$", re.I)
+_INTRO = re.compile(r"^(?:on\b.*\bwrote|.+\b(?:wrote|schrieb|a écrit|escribió))\s*:\s*$", re.I)
 _SIGNS = re.compile(r"[\W_]+")
 #: Turns that one task looks through at once for the nearest message that says a passage.
 BLOCK = 1024

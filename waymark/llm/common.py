@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.plans.lineage import cut as materialise
+from waymark.plans.lineage import shared_dir
+from waymark.plans.lineage import small as broadcast_if_small
+
+__all__ = ["ascii_lower", "broadcast_if_small", "discard", "materialise", "put", "shared_dir", "table"]
+
 #: The white space of the contracts: blank and the control characters 0x09 to 0x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,26 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where
-    that is unset (tests on one machine)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="waymark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor
-    costs no recomputation, and the adaptive planner knows the true size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/waymark-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialise() wrote and that nothing reads any more: later steps start from
     tables that are written already, so they never have to be made again."""
@@ -55,12 +38,6 @@ def ascii_lower(col: Column) -> Column:
     return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark a materialised table for broadcasting if it has at most ``max_rows`` rows; beyond that
-    Spark picks a shuffle join (whose hot keys adaptive execution splits)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def put(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add result columns; an input column of the same name gives way."""
     return df.withColumns(columns)

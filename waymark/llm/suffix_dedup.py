@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import broadcast_if_small, materialise, table
+from .passages import repeating_texts
 from .wordhash import mix, powers
 
 LENGTH, GRAM = 400, 100
@@ -401,32 +402,38 @@ def covered(docs: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans and kept (bytes)."""
+    """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept (bytes), and th, the
+    text's hash."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("th", F.xxhash64("text"))
     spans = covered(docs, length, gram, hot).groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(
         F.collect_list(F.struct("start", "end")).alias("spans")
     )
     joined = docs.join(
         spans.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(spans["__d"]) & (docs["th"] == spans["__t"]), "left"
-    ).select("doc_id", "text", "spans.start", "spans.end")
+    ).select("doc_id", "text", "spans.start", "spans.end", docs["th"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, t, s, e in zip(*b.columns, strict=True):
+            for doc, t, s, e, th in zip(*b.columns, strict=True):
                 raw = _raw(t)
                 if s.is_valid and len(s):
                     starts, ends = merged(s.values.to_numpy(), e.values.to_numpy())
                     edges = [0, *np.stack((starts, ends), axis=1).ravel().tolist(), len(raw)]
                     kept = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
-                    rows.append((doc.as_py(), len(raw), len(raw) - len(kept), len(starts), kept))
+                    rows.append((doc.as_py(), len(raw), len(raw) - len(kept), len(starts), kept, th.as_py()))
                 else:
-                    rows.append((doc.as_py(), len(raw), 0, 0, raw))
-            yield _batch(rows, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"], [*_types(), pa.binary()])
+                    rows.append((doc.as_py(), len(raw), 0, 0, raw, th.as_py()))
+            yield _batch(rows, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "th"], [*_types(), pa.binary(), pa.int64()])
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, th long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, and has_repeat: whether a passage of over 50 words stands in another
+    document, too. LENGTH bytes are some 68 words of prose, so shorter passages stay in the text."""
+    docs = table(spark, sf_dir, "documents")
+    again = repeating_texts(docs.select(F.xxhash64("text").alias("th"), "text")).withColumnRenamed("th", "__p")
+    out = suffix_dedup(docs).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+    out = out.join(broadcast_if_small(again), F.col("th") == F.col("__p"), "left")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("__p").isNotNull().alias("has_repeat"))
