@@ -29,14 +29,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, table
+from .common import broadcast_if_small, materialise, shared_dir, table
 
 DATE = "1970-01-01T00:00:00Z"
 MIN_BYTES, ROLL_BYTES, GZIP_LEVEL = 0, 256 << 20, 4
 #: Ranges are merged over gaps up to GAP bytes and up to RANGE bytes in all.
 GAP, RANGE = 64 << 10, 8 << 20
-#: Archive bytes that one reading task takes.
-PART = 8 << 20
+#: Archive bytes that one reading task takes; less, down to LEAST_PART, where cores would stay idle.
+PART, LEAST_PART = 256 << 20, 8 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, url string, digest string, record_type string, refers_to long, file string, offset long, length long"
 
@@ -91,13 +91,15 @@ def parse(raw: bytes) -> dict:
 
 def with_duplicates(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(page_id, url, payload, refers_to, revisit). The least page_id per payload is combined before
-    the shuffle and joined from a table, so that adaptive execution can split a hot payload."""
+    the shuffle; only payloads that repeat are joined, from a table: if it is small no payload moves,
+    else adaptive execution can split a hot one."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")
     rows = pages.select(F.col("page_id").cast("long"), "url", payload)
     rows = rows.withColumn("key", F.concat(F.unhex(F.sha2("payload", 256)), F.unhex(F.lpad(F.hex(F.octet_length("payload")), 16, "0"))))
-    least = materialise(rows.groupBy(F.col("key").alias("__k")).agg(F.min("page_id").alias("__first")))
+    least = rows.groupBy(F.col("key").alias("__k")).agg(F.min("page_id").alias("__first"), F.count("*").alias("__n"))
+    least = materialise(least.where("__n > 1").select("__k", "__first"))
     same = F.col("__first").isNotNull() & (F.octet_length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("__first"))
-    return rows.join(least, rows["key"] == least["__k"]).select(
+    return rows.join(broadcast_if_small(least), F.col("key") == F.col("__k"), "left").select(
         "page_id", "url", "payload", F.when(same, F.col("__first")).alias("refers_to"), same.alias("revisit")
     )
 
@@ -161,7 +163,8 @@ def read_records(index: DataFrame, gap: int = GAP, most: int = RANGE, payloads:
     index = index.select("file", "offset", "length")
     # As many partitions as the archives' bytes ask for; the index itself is far too small to tell.
     size = index.agg(F.sum("length")).first()[0] or 0
-    spread = index.repartitionByRange(max(1, -(-size // PART)), F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
+    parts = max(1, -(-size // PART), min(index.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_PART)))
+    spread = index.repartitionByRange(parts, F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     fields = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     if payloads:
