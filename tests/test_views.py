@@ -61,6 +61,16 @@ def test_pages_are_written(spark, small, tmp_path):
     assert text.startswith("# Data Flow") and "GET /a → do → t" in text
 
 
+def test_tables(spark, small):
+    n, e = small
+    flows = traverse.flow_candidates(n, e).withColumn("curated", F.lit(False))
+    got = views.tables(n, e, flows, spark.createDataFrame([("unresolved:call:z",)], "ref string"))
+    row = got["endpoints"].first()
+    assert (row["method"], row["path"], row["handler"], row["n_consumers"], row["n_reach"]) == ("GET", "/a", "h:1", 1, 2)
+    assert got["access"].count() == 2 and got["flows"].where("missing").count() == 0 and got["overview"].first()["total_nodes"] == 8
+    assert {r["category"] for r in got["issues"].collect()} == {"unresolved"}
+
+
 def test_search_and_caps(spark, small):
     n, e = small
     assert [r["id"] for r in views.search(n, "guard PY").collect()] == ["g:1"]

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark import schema as S
-from waymark.operators import inventory, traverse
+from waymark.functions.text import method_path
+from waymark.operators import inventory, traverse, validate
 from waymark.operators.build import last_wins, union_all
 from waymark.operators.migrate import markdown_rows
 from waymark.plans.lineage import Levels
@@ -207,6 +208,30 @@ def write_views(nodes: DataFrame, edges: DataFrame, flows: DataFrame, folder: st
     return [*capped, *whole]
 
 
+def endpoint_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, method, path, handler, file, line, confidence, n_consumers, consumers, n_reach): one row an
+    endpoint, with its first handler and how many nodes lie downstream."""
+    own = nodes.where("kind = 'endpoint'").select("id", method_path(F.col("name")).alias("m"), "file", "line", "confidence")
+    by = inventory.handlers(edges, "first").withColumnRenamed("endpoint", "id")
+    uses = inventory.consumers(edges).withColumnRenamed("endpoint", "id")
+    far = traverse.reach(traverse.adjacency(nodes, edges), nodes, own.select(F.col("id").alias("seed"))).withColumnRenamed("seed", "id")
+    out = own.join(by, "id", "left").join(uses, "id", "left").join(far, "id", "left")
+    return out.select(
+        "id", "m.method", "m.path", "handler", "file", "line", "confidence", F.coalesce("n_consumers", F.lit(0)).alias("n_consumers"),
+        F.coalesce("consumers", F.lit("")).alias("consumers"), F.coalesce("n_reach", F.lit(0)).alias("n_reach"),
+    )
+
+
+def tables(nodes: DataFrame, edges: DataFrame, flows: DataFrame, unresolved: DataFrame, stale: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The structured tables of the explorer, by name. flows are (seed, kind, chain, curated)."""
+    return {
+        "overview": inventory.overview(nodes, edges), "endpoints": endpoint_table(nodes, edges), "stores": store_names(nodes),
+        "access": inventory.data_access(edges, nodes), "migrations": migration_page(nodes, edges),
+        "dependencies": inventory.service_dependencies(edges, nodes), "symbols": inventory.symbols(nodes),
+        "flows": hydrated_flows(flows, nodes), "issues": validate.issues(nodes, edges, unresolved, stale),
+    }
+
+
 # --- Explorer: searches, filters, caps
 
 
