@@ -1,10 +1,11 @@
 """Quality rules from tokeniser fertility.
 
-A public vocabulary measures each whole text: characters per token, share of tokens that are byte
-fallbacks (tokens that are no valid UTF-8 by themselves) and entropy of the tokens. A band for each
-measure comes from all documents of the language (or, without a language, of the main script) that
-pass the base rules; a document outside its bands is rejected. A group of fewer than MIN_GROUP such
-documents uses the bands of all documents.
+Public vocabularies measure each whole text: characters per token, share of tokens that are byte
+fallbacks (the byte tokens of a vocabulary with fallback; of a byte-level one, tokens that are no
+valid UTF-8 by themselves) and entropy of the tokens. A band for each measure of each vocabulary comes
+from all documents of the language (or, without a language, of the main script) that pass the base
+rules. A measure is bad if the text is outside the bands of most vocabularies; one bad measure rejects
+a document. A group of fewer than MIN_GROUP such documents uses the bands of all documents.
 
 One Python pass measures the documents in Arrow batches; the measures (some 60 bytes a row) are
 written to the shared folder, and quantile sketches, combined before the shuffle, give the bands.
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, materialise, table
 
 TOKENIZERS = "/opt/tokenizers"
-VOCABULARY = "byte_bpe_50k.tiktoken"
+#: A byte-level vocabulary for many languages, and one with real byte fallback.
+VOCABULARIES = ("byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model")
+MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 #: The published pre-tokenisation pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Half a band is the larger of SPREADS robust deviations and a share of the median (for byte_share
@@ -44,7 +47,7 @@ _STARTS = np.array([a for a, _ in _SCRIPTS], dtype=np.uint32)
 
 SCHEMA = (
     "doc_id long, band string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
-    " n_tokens long, chars_per_token double, byte_share double, token_entropy double"
+    " n_tokens array<long>, chars_per_token array<double>, byte_share array<double>, token_entropy array<double>"
 )
 
 
@@ -86,15 +89,22 @@ def script_of(text: str) -> str:
 
 
 class Meter:
-    """A byte-level BPE vocabulary that measures texts."""
+    """A vocabulary that measures texts: a rank file (byte-level) or a piece model (with fallback)."""
 
-    def __init__(self, ranks_file: bytes, pattern: str = PATTERN):
+    def __init__(self, name: str, content: bytes, pattern: str = PATTERN):
+        if name.endswith(".model"):
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_proto=content)
+            self.encode = lambda text: model.encode(text, num_threads=1)
+            self.fallback = np.array([model.is_byte(i) or model.is_unknown(i) for i in range(model.get_piece_size())])
+            return
         import base64
 
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
-        self.encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
+        self.encode = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.fallback = np.zeros(max(ranks.values()) + 1, dtype=bool)
         for token, rank in ranks.items():
             try:
@@ -104,10 +114,10 @@ class Meter:
 
     def measure(self, text: str) -> tuple[int, float, float, float]:
         """n_tokens, characters per token, byte-fallback share, entropy in bits."""
-        if not text:
-            return 0, 0.0, 0.0, 0.0
-        ids = np.array(self.encoding.encode_ordinary(text), dtype=np.int32)
+        ids = np.array(self.encode(text), dtype=np.int32) if text else np.zeros(0, np.int32)
         n = len(ids)
+        if not n:
+            return 0, 0.0, 0.0, 0.0
         ids.sort()
         edges = np.flatnonzero(np.diff(ids)) + 1
         counts = np.diff(np.concatenate(([0], edges, [n])))
@@ -115,60 +125,68 @@ class Meter:
         return n, len(text) / n, float(self.fallback[ids].mean()), max(entropy, 0.0)
 
 
-def measures(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}", pattern: str = PATTERN) -> DataFrame:
-    """One row of SCHEMA per row of docs (doc_id, text, lang)."""
-    with open(vocabulary, "rb") as f:
-        ranks = f.read()  # a public vocabulary, below 2 MB, goes along with the tasks
+def vocabulary_paths(folder: str = TOKENIZERS, names: tuple[str, ...] = VOCABULARIES) -> list[str]:
+    return [f"{folder}/{n}" for n in names]
+
+
+def measures(docs: DataFrame, vocabularies: list[str] | None = None, pattern: str = PATTERN) -> DataFrame:
+    """One row of SCHEMA per row of docs (doc_id, text, lang); arrays have one value a vocabulary."""
+    files = []
+    for path in vocabularies or vocabulary_paths():
+        with open(path, "rb") as f:
+            files.append((path, f.read()))  # public vocabularies, below 2 MB in all, go along with the tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meter = Meter(ranks, pattern)
+        meters = [Meter(name, content, pattern) for name, content in files]
         schema = pa.schema([
             ("doc_id", pa.int64()), ("band", pa.string()), *[(c, pa.int64()) for c in (
-                "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")],
-            ("chars_per_token", pa.float64()), ("byte_share", pa.float64()), ("token_entropy", pa.float64())])
+                "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+            ("n_tokens", pa.list_(pa.int64())), *[(c, pa.list_(pa.float64())) for c in MEASURES]])
         for batch in batches:
             rows = []
             for doc, text, lang in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                text = text.as_py() or ""
+                text = (text.as_py() or "").encode("utf-8", "replace").decode()
                 band = lang.as_py()
-                counts = word_counts(text)
-                rows.append((doc.as_py(), f"lang:{band}" if band else f"script:{script_of(text)}", *counts, *meter.measure(text)))
+                measured = zip(*(m.measure(text) for m in meters), strict=True)
+                rows.append((doc.as_py(), f"lang:{band}" if band else f"script:{script_of(text)}", *word_counts(text), *map(list, measured)))
             cols = list(zip(*rows, strict=True)) or [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, SCHEMA)
 
 
-def fertility_rules(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}", spreads: float = SPREADS,
+def fertility_rules(docs: DataFrame, vocabularies: list[str] | None = None, spreads: float = SPREADS,
                     shares: dict[str, float] = SHARES, min_group: int = MIN_GROUP) -> DataFrame:
     """The measures of every document with base_failed, the verdict's three flags and kept."""
-    rows = materialise(measures(docs, vocabulary).withColumn(
+    vocabularies = vocabularies or vocabulary_paths()
+    rows = materialise(measures(docs, vocabularies).withColumn(
         "base_failed",
         (F.col("n_words") < BASE_MIN_WORDS) | (100 * F.col("n_repeat_words") > BASE_MAX_REPEAT_PERCENT * F.col("n_words")),
     ))
-    names = ("chars_per_token", "byte_share", "token_entropy")
+    each = [(c, v) for c in MEASURES for v in range(len(vocabularies))]
     sound = rows.where(~F.col("base_failed"))
-    sketch = [F.count("*").alias("__n")] + [F.percentile_approx(c, [0.1, 0.5, 0.9], 10_000).alias(f"__{c}") for c in names]
-    all_docs = sound.agg(*sketch[1:]).first()
-    default = {c: all_docs[f"__{c}"] or [0.0, 0.0, 0.0] for c in names}
-    bands = materialise(sound.groupBy(F.col("band").alias("__band")).agg(*sketch).where(F.col("__n") >= min_group))
+    sketch = [F.percentile_approx(F.col(c)[v], [0.1, 0.5, 0.9], 10_000).alias(f"__{c}_{v}") for c, v in each]
+    default = sound.agg(*sketch).first()
+    bands = materialise(sound.groupBy(F.col("band").alias("__band")).agg(F.count("*").alias("__n"), *sketch).where(F.col("__n") >= min_group))
     joined = rows.join(broadcast_if_small(bands), F.col("band") == F.col("__band"), "left")
 
-    def edge(c: str, sign: int):
-        q = F.coalesce(F.col(f"__{c}"), F.array(*[F.lit(float(x)) for x in default[c]]))
+    def edge(c: str, v: int, sign: int):
+        q = F.coalesce(F.col(f"__{c}_{v}"), F.array(*[F.lit(float(x)) for x in default[f"__{c}_{v}"] or [0.0, 0.0, 0.0]]))
         least = F.lit(shares[c]) if c == "byte_share" else q[1] * F.lit(shares[c])
         half = F.greatest((q[2] - q[0]) / F.lit(2.5631) * F.lit(spreads), least)
-        return q[1] + F.lit(sign) * half * F.sqrt(1 + F.lit(SHORT) / F.greatest("n_tokens", F.lit(1)))
+        return q[1] + F.lit(sign) * half * F.sqrt(1 + F.lit(SHORT) / F.greatest(F.col("n_tokens")[v], F.lit(1)))
 
-    flags = {
-        "bad_fertility": (F.col("chars_per_token") < edge("chars_per_token", -1)) | (F.col("chars_per_token") > edge("chars_per_token", 2)),
-        "bad_bytes": F.col("byte_share") > edge("byte_share", 1),
-        "bad_entropy": F.col("token_entropy") < edge("token_entropy", -1),
+    outside = {
+        "bad_fertility": lambda v: (F.col("chars_per_token")[v] < edge("chars_per_token", v, -1)) | (F.col("chars_per_token")[v] > edge("chars_per_token", v, 2)),
+        "bad_bytes": lambda v: F.col("byte_share")[v] > edge("byte_share", v, 1),
+        "bad_entropy": lambda v: F.col("token_entropy")[v] < edge("token_entropy", v, -1),
     }
+    most = [(name, [test(v).cast("int") for v in range(len(vocabularies))]) for name, test in outside.items()]
+    flags = {name: sum(votes[1:], votes[0]) * 2 > len(vocabularies) for name, votes in most}
     return (
         joined.withColumns(flags)
         .withColumn("kept", ~(F.col("base_failed") | F.col("bad_fertility") | F.col("bad_bytes") | F.col("bad_entropy")))
-        .drop("__band", "__n", *[f"__{c}" for c in names])
+        .drop("__band", "__n", *[f"__{c}_{v}" for c, v in each])
     )
 
 
