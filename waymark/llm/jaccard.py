@@ -37,11 +37,11 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, discard, materialise, table
@@ -181,11 +181,26 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def index_entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, cls, salt): the index lists' entries; a task tells equal sets once (the last SEEN of them).
+def salted(key: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's entries with their salts. A key with more than SHORT entries in one batch is hot: these
+    get a salt of their own, so that no task holds all entries of a hot key, and one entry of salt -1
+    tells the key's own task."""
+    values, counts = np.unique(key, return_counts=True)
+    hot = values[counts > SHORT]
+    salt = np.zeros(len(key), dtype=np.int32)
+    if len(hot):
+        at = np.isin(key, hot)
+        # One salt for a key and batch, from the batch's first set; 0 and -1 have their meanings.
+        own = mix(key[at] ^ mix(of[:1].view(np.uint64)))
+        salt[at] = (own >> np.uint64(34)).astype(np.int32) | 1
+        first = np.flatnonzero(at)[np.unique(key[at], return_index=True)[1]]
+        key, of = np.concatenate((key, key[first])), np.concatenate((of, of[first]))
+        salt = np.concatenate((salt, np.full(len(first), -1, np.int32)))
+    return key, of, salt
+
 
-    A key with more than SHORT entries in one batch is hot: these get a salt of their own, so that no
-    task holds all entries of a hot key, and one entry of salt -1 tells the key's own task."""
+def index_entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(key, cls, salt): the index lists' entries; a task tells equal sets once (the last SEEN of them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent)
@@ -203,19 +218,7 @@ def index_entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 cls.append(c)
             if not sum(map(len, keys)):
                 continue
-            key = np.concatenate(keys)
-            of = np.repeat(np.array(cls, np.int64), [len(x) for x in keys])
-            values, counts = np.unique(key, return_counts=True)
-            hot = values[counts > SHORT]
-            salt = np.zeros(len(key), dtype=np.int32)
-            if len(hot):
-                at = np.isin(key, hot)
-                # One salt for a key and batch, from the batch's first set; 0 and -1 have their meanings.
-                own = mix(key[at] ^ mix(np.array(cls[:1], np.int64).view(np.uint64)))
-                salt[at] = (own >> np.uint64(34)).astype(np.int32) | 1
-                first = np.flatnonzero(at)[np.unique(key[at], return_index=True)[1]]
-                key, of = np.concatenate((key, key[first])), np.concatenate((of, of[first]))
-                salt = np.concatenate((salt, np.full(len(first), -1, np.int32)))
+            key, of, salt = salted(np.concatenate(keys), np.repeat(np.array(cls, np.int64), [len(x) for x in keys]))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(of), pa.array(salt)], names=["key", "cls", "salt"])
 
     return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "key long, cls long, salt int")
@@ -401,24 +404,25 @@ def _derived_links(compared: DataFrame, percent: int, family: int) -> DataFrame:
     return tasks.groupBy("leader", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, family: int = FAMILY) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    prof = materialise(profiles(docs, k))
+def classes_of(prof: DataFrame, *held: str) -> DataFrame:
+    """One row per set, from profiles: its least doc_id (rep), size, and the columns ``held``."""
     sound = prof.where("cls IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialise(
         sound.groupBy("cls").agg(
-            F.min("doc_id").alias("rep"), F.min("chk").alias("c0"), F.max("chk").alias("c1"),
-            F.first("n").alias("n"), F.first("bits").alias("bits"),
+            F.min("doc_id").alias("rep"), F.min("chk").alias("c0"), F.max("chk").alias("c1"), F.first("n").alias("n"), *[F.first(h).alias(h) for h in held]
         )
     )
     if classes.where("c0 != c1").limit(1).count():
         raise ValueError("two sets share a 64-bit class")
+    return classes
 
-    met = materialise(meetings(index_entries(docs, k, percent)))
-    # A set leaves out its long lists of a size class if they are within the slack.
-    scheme = Scheme(percent)
-    slack = F.array(*(F.lit(scheme.slack(g)) for g in range(len(scheme.ends) - 1)))
+
+def components_of(docs: DataFrame, prof: DataFrame, classes: DataFrame, met: DataFrame, slack: list[int], near: Callable[..., Column],
+                  k: int, percent: int, family: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of all profiles, from the lists' meetings. A set leaves out its
+    long lists of a size class if they are within ``slack``; ``near`` says from what two classes keep
+    (bits and sizes) whether a pair of a short list has a chance. All links are confirmed on full sets."""
+    slack = F.array(*(F.lit(x) for x in slack))
     listed = met.where("key IS NOT NULL").select("key", F.col("a").alias("cls"), F.col("key").bitwiseAND(CLASSES - 1).cast("int").alias("g")).distinct()
     listed = listed.withColumn("many", F.count("*").over(Window.partitionBy("cls", "g"))).where(F.col("many") > F.get(slack, F.col("g")))
     listed = materialise(listed.select("key", "cls"))
@@ -433,7 +437,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     lead = classes.select(F.col("cls").alias("leader"), F.col("rep").alias("lead_rep"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
     pairs = materialise(
         cand.join(own, "cls").join(lead, "leader")
-        .where(F.col("family") | _near_sketches("b1", "b2", "n1", "n2", percent))
+        .where(F.col("family") | near("b1", "b2", "n1", "n2", percent))
         .select("leader", "cls", "family", "rep", "lead_rep")
     )
 
@@ -475,6 +479,17 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     )
 
 
+def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, family: int = FAMILY) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    prof = materialise(profiles(docs, k))
+    classes = classes_of(prof, "bits")
+    met = materialise(meetings(index_entries(docs, k, percent)))
+    scheme = Scheme(percent)
+    slack = [scheme.slack(g) for g in range(len(scheme.ends) - 1)]
+    return components_of(docs, prof, classes, met, slack, _near_sketches, k, percent, family)
+
+
 def one_per_component(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with only the least doc_id of each component (and rows without a doc_id)."""
     comp = jaccard_components(docs, k, percent)

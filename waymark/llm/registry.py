@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fertility, jaccard, langid, line_dedup, mixing, suffix_dedup, url_filter, warc
+from . import (
+    bbit_minhash, chat, collocations, decontaminate, fertility, filter_audit, jaccard, langid, line_dedup, mixing, suffix_dedup,
+    url_filter, warc,
+)
 
 QUERIES = {
     "op1_mix_to_targets": mixing.query,
@@ -15,10 +18,16 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_warc_round_trip": warc.query,
     "op10_quotation_linking": chat.query,
+    "op11_phrase_collocations": collocations.query,
+    "op12_filter_audit": filter_audit.query,
+    "op13_bbit_minhash": bbit_minhash.query,
 }
 
 ORACLE_SQL = {
     "op1_mix_to_targets": mixing.SQL,
     "op2_line_dedup": line_dedup.SQL,
     "op6_jaccard_components": jaccard.SQL,
+    "op11_phrase_collocations": collocations.SQL,
+    "op12_filter_audit": filter_audit.SQL,
+    "op13_bbit_minhash": bbit_minhash.SQL,
 }
