@@ -16,7 +16,7 @@
 
 Cases: a null text is empty and a null language is `und`; pieces never cross documents; repeated rows
 count again; an empty table gives no rows; extra columns are not read; a text of any length is read in
-slices. Sums that may pass 64 bits are decimals.
+slices. Within a shard words are told apart by 64 bits of hash. Sums that may pass 64 bits are decimals.
 """
 
 from __future__ import annotations
@@ -26,16 +26,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialise, table
-from .wordhash import mix
+from .wordhash import batches_of, mix
 
 MAX_WORDS, MIN_COUNT, TOP = 4, 30, 2000
 #: A longer phrase with this share (percent) of the occurrences takes a shorter one's place.
 SUBSUMED = 80
-SHARD, SLICE = 8 << 20, 1 << 20
+SHARD, SLICE = 2 << 20, 1 << 19
 FILTER_BITS, PROBES = 1 << 27, 3
 
 _BREAK = np.zeros(256, dtype=bool)
@@ -208,17 +209,12 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str
     """The words of each shard of rows (lang, text), and its languages."""
     for b in batches:
         langs, texts = b.column(0).to_pylist(), b.column(1)
-        texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in texts]
-        known = {x: np.frombuffer(x.encode("utf-8", "surrogatepass"), dtype=np.uint8) for x in set(langs)}
-        seed = {x: int(mix(np.add.reduce(mix((v.astype(np.uint64) + np.uint64(1)) * _STEP + np.arange(len(v), dtype=np.uint64)), keepdims=True) + np.uint64(len(v)))[0]) for x, v in known.items()}
-        i = 0
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and (j == i or size + len(texts[j]) <= SHARD):
-                size += len(texts[j])
-                j += 1
-            yield split(texts[i:j], np.array([seed[x] for x in langs[i:j]], dtype=np.uint64)), langs[i:j]
-            i = j
+        known = {x: np.frombuffer(x.encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint64) for x in set(langs)}
+        seed = {x: int((mix((v + np.uint64(1)) * _STEP + np.arange(len(v), dtype=np.uint64))).sum() + np.uint64(len(v))) for x, v in known.items()}
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        for i, j in batches_of(sizes, sizes, SHARD):
+            raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts[i:j].to_pylist()]
+            yield split(raws, mix(np.array([seed[x] for x in langs[i:j]], dtype=np.uint64))), langs[i:j]
 
 
 def _runs(w: Words, words: Bloom | None, pairs: Bloom | None) -> np.ndarray:
