@@ -52,7 +52,7 @@ SECTIONS = dict.fromkeys(("framework", "orm", "migration-tool", "messaging"), "f
 RANK = {"LOW": 0, "MEDIUM": 1, "HIGH": 2}
 
 
-def _any(name: Column, globs: tuple[str, ...]) -> Column:
+def any_of(name: Column, globs: tuple[str, ...]) -> Column:
     return name.rlike("|".join(glob_regex(g) for g in globs))
 
 
@@ -64,9 +64,9 @@ def detect(spark: SparkSession, files: DataFrame) -> DataFrame:
     hits = []
     for glob, system, name, confidence in MANIFESTS:
         role = "language" if name in LANGUAGES else "framework" if name == "angular" else "tooling"
-        test = _any(base, (glob,)) | _any(F.col("path"), (glob,))
+        test = any_of(base, (glob,)) | any_of(F.col("path"), (glob,))
         hits += [(test, name, role, confidence)] + ([(test, system, "build", confidence)] if system else [])
-    low = F.when(_any(base, READ), F.lower(F.coalesce("text", F.lit(""))))
+    low = F.when(any_of(base, READ), F.lower(F.coalesce("text", F.lit(""))))
     hits += [(low.contains(needle), name, role, confidence) for needle, name, role, confidence in NEEDLES]
     found = F.array(*[
         F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(SECTIONS.get(r, "infrastructure")).alias("section"), F.lit(n).alias("name"), F.lit(c).alias("confidence"), F.lit(-i).alias("o")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.text import simple_class
+from waymark.operators.build import union_all
 
 CLASS_KINDS = ("class", "interface", "controller", "service", "handler", "configuration")
 METHOD_KINDS = ("method", "function")
@@ -21,37 +22,50 @@ def _index(rows: DataFrame, dedupe: bool) -> DataFrame:
     return rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", "seq").alias("first"))
 
 
-def indexes(nodes: DataFrame, component_prefixes: tuple[str, ...] = COMPONENT_PREFIXES) -> dict[str, DataFrame]:
+def _names(nodes: DataFrame, component_prefixes: tuple[str, ...], seq: str) -> dict[str, DataFrame]:
+    """(key, id, seq) of the names that nodes can be asked for by, for each index."""
     c = F.col
     cls = nodes.where(c("kind").isin(*CLASS_KINDS) & c("id").contains(":"))
-    by_class = cls.select(F.explode(F.array(simple_class(c("id")), c("name"))).alias("key"), "id", c("node_seq").alias("seq"))
+    by_class = cls.select(F.explode(F.array(simple_class(c("id")), c("name"))).alias("key"), "id", c(seq).alias("seq"))
     meth = nodes.where(c("kind").isin(*METHOD_KINDS) & c("id").contains("#"))
     name = F.substring_index("id", "#", -1)
     head = F.regexp_replace("id", "#[^#]*$", "")
     keys = F.array(
         F.concat(simple_class(head), F.lit("#"), name), F.concat(F.substring_index("name", ".", -1), F.lit("#"), name)
     )
-    by_method = meth.select(F.explode(keys).alias("key"), "id", c("node_seq").alias("seq"))
+    by_method = meth.select(F.explode(keys).alias("key"), "id", c(seq).alias("seq"))
     own = F.lit(not component_prefixes)
     for p in component_prefixes:
         own = own | c("id").startswith(p)
-    comp = nodes.where(c("kind").isin(*COMPONENT_KINDS) & own).select(c("name").alias("key"), "id", c("node_seq").alias("seq"))
+    comp = nodes.where(c("kind").isin(*COMPONENT_KINDS) & own).select(c("name").alias("key"), "id", c(seq).alias("seq"))
     ep = nodes.where((c("kind") == "endpoint") & c("id").startswith("endpoint:"))
     verb = F.regexp_extract("id", r"(?s)^endpoint:([^ ]*) ", 1)
     path = F.regexp_extract("id", r"(?s)^endpoint:[^ ]* (.+)$", 1)
-    by_path = ep.where((verb != "*") & (path != "")).select(path.alias("key"), "id", c("node_seq").alias("seq"))
-    return {
-        "class": _index(by_class, True), "method": _index(by_method, False),
-        "component": _index(comp, False), "path": _index(by_path, True),
-    }
+    by_path = ep.where((verb != "*") & (path != "")).select(path.alias("key"), "id", c(seq).alias("seq"))
+    return {"class": by_class, "method": by_method, "component": comp, "path": by_path}
 
 
-def resolve(edges: DataFrame, nodes: DataFrame, component_prefixes: tuple[str, ...] = COMPONENT_PREFIXES) -> DataFrame:
-    """Edges with dst, confidence and resolved rewritten, and kept_unresolved (the old dst of a
-    reference that stays)."""
-    ix = indexes(nodes, component_prefixes)
-    c = F.col
-    dst = c("dst")
+#: Whether a node counts once for a name that it has twice.
+_DEDUPED = {"class": True, "method": False, "component": False, "path": True}
+
+
+def indexes(nodes: DataFrame, component_prefixes: tuple[str, ...] = COMPONENT_PREFIXES) -> dict[str, DataFrame]:
+    return {i: _index(rows, _DEDUPED[i]) for i, rows in _names(nodes, component_prefixes, "node_seq").items()}
+
+
+def names(nodes: DataFrame, seq: str = "node_seq", component_prefixes: tuple[str, ...] = COMPONENT_PREFIXES) -> DataFrame:
+    """(i, key, id, seq): all names of nodes, by index."""
+    parts = [rows.select(F.lit(i).alias("i"), "key", "id", "seq") for i, rows in _names(nodes, component_prefixes, seq).items()]
+    return union_all(parts)
+
+
+def indexes_of(rows: DataFrame) -> dict[str, DataFrame]:
+    """The indexes of rows of names(), all of each name that is asked for."""
+    return {i: _index(rows.where(F.col("i") == i).select("key", "id", "seq"), dedupe) for i, dedupe in _DEDUPED.items()}
+
+
+def _reference(dst: Column) -> tuple[Column, Column, Column]:
+    """(form, index, key) of a symbolic name; null where it is none."""
     key = (
         F.when(dst.startswith("unresolved:handler:"), F.substring_index(F.substring(dst, 20, 1 << 30), ".", -1))
         .when(dst.rlike("^unresolved:(method|class|component|guard):"), F.regexp_extract(dst, r"(?s)^unresolved:[a-z]+:(.*)$", 1))
@@ -59,7 +73,25 @@ def resolve(edges: DataFrame, nodes: DataFrame, component_prefixes: tuple[str, .
     )
     form = F.regexp_extract(dst, r"^unresolved:(method|class|component|guard|handler):", 1)
     form = F.when(form != "", form).when(dst.startswith("endpoint:* "), "path")
-    index = F.when(form.isin("guard", "handler", "component"), "component").otherwise(form)
+    return form, F.when(form.isin("guard", "handler", "component"), "component").otherwise(form), key
+
+
+def asked(dst: Column) -> Column:
+    """The names (i, key) that a reference is looked up by: its own, and a method's class."""
+    form, index, key = _reference(dst)
+    own = F.when(form.isNotNull(), F.struct(index.alias("i"), key.alias("key")))
+    owner = F.when(form == "method", F.struct(F.lit("class").alias("i"), F.substring_index(key, "#", 1).alias("key")))
+    return F.array_compact(F.array(own, owner))
+
+
+def resolve(edges: DataFrame, nodes: DataFrame, component_prefixes: tuple[str, ...] = COMPONENT_PREFIXES,
+            ix: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Edges with dst, confidence and resolved rewritten, and kept_unresolved (the old dst of a
+    reference that stays). ``ix`` are indexes that have all that these edges ask for."""
+    ix = ix or indexes(nodes, component_prefixes)
+    c = F.col
+    dst = c("dst")
+    form, index, key = _reference(dst)
     rows = edges.withColumns({"__form": form, "__key": key, "__index": index})
     cands = None
     for name, df in ix.items():

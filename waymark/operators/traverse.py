@@ -143,13 +143,14 @@ def reach(adj: DataFrame, nodes: DataFrame, seeds: DataFrame, limit: int = 400)
     return counts.select("seed", F.coalesce("full", F.least("n", F.lit(limit - 1))).cast("long").alias("n_reach"))
 
 
-def flow_candidates(nodes: DataFrame, edges: DataFrame, cap: int = 8) -> DataFrame:
+def flow_candidates(nodes: DataFrame, edges: DataFrame, cap: int = 8, only: DataFrame | None = None) -> DataFrame:
     """(seed, kind, chain) of every endpoint (last handler, then three levels) and every other flow
     seed (four levels). Levels follow the flow edge types in order; when the chain is full, each
     level still adds one node.
 
     A level takes at most ``cap`` new nodes and a chain can hide no more than it holds, so of a
-    node's neighbours only the first ``cap`` + the longest chain can count. Chains are one row a seed."""
+    node's neighbours only the first ``cap`` + the longest chain can count. Chains are one row a seed.
+    ``only`` (seed): the seeds to look at."""
     levels, longest = 4, cap + 4
     walk = edges.where(F.col("type").isin(*S.FLOW_WALK_TYPES) & ~F.col("dst").startswith("unresolved:") & ~F.col("dst").startswith("stereotype:"))
     walk = walk.groupBy("src", "dst").agg(F.min("edge_seq").alias("edge_seq"))
@@ -161,6 +162,8 @@ def flow_candidates(nodes: DataFrame, edges: DataFrame, cap: int = 8) -> DataFra
     last = edges.where("type = 'handled-by'").groupBy(F.col("src").alias("seed")).agg(F.max_by("dst", "edge_seq").alias("handler"))
     other = nodes.where(F.col("kind").isin(*S.FLOW_SEEDS)).select(F.col("id").alias("seed"), "kind", F.lit(None).cast("string").alias("handler"))
     seeds = ep.join(last, "seed", "left").unionByName(other)
+    if only is not None:
+        seeds = seeds.join(small(only), "seed", "left_semi")
     front = F.when(F.col("handler").isNotNull(), F.array("handler")).when(F.col("kind") != "endpoint", F.array("seed")).otherwise(F.array().cast("array<string>"))
     chain = F.array_compact(F.array("seed", "handler"))
     chains = cut(seeds.select("seed", "kind", chain.alias("chain"), front.alias("front")))

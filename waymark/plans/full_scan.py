@@ -13,6 +13,8 @@ from waymark.plans.lineage import cut
 from waymark.sources import store
 from waymark.sources.extract import build
 from waymark.sources.files import scan_tree
+from waymark.sources.snapshots import Snapshots
+from waymark.streaming import incremental
 
 
 @dataclass
@@ -36,9 +38,14 @@ def full_scan(spark: SparkSession, files: DataFrame) -> Scan:
 
 
 def init_map(spark: SparkSession, root: str, folder: str, map_dir: str | None = None) -> store.Stored:
-    """Scans a working copy, saves the graph to ``folder`` and writes its pages beside the snapshots."""
-    scan = full_scan(spark, cut(scan_tree(spark, root, map_dir)))
+    """Scans a working copy, saves the graph to ``folder`` as the start of incremental runs, and writes its
+    pages beside the snapshots."""
+    files = cut(scan_tree(spark, root, map_dir))
+    none = incremental.empty(spark)
+    tables = incremental.advance(none, files).applied(none).tables()
     now = spark.range(1).select(iso_seconds(F.current_timestamp())).first()[0]
-    kept = store.save(scan.nodes, scan.edges, scan.hashes, folder, store.head_commit(spark, root), now, scan.flows)
+    snapshots = Snapshots(spark, folder)
+    snapshots.commit(snapshots.entry(), tables, version=store.VERSION, last_sync_commit=store.head_commit(spark, root), last_sync_time=now)
+    kept = store.load(spark, folder)
     views.write_views(kept.nodes, kept.edges, kept.flows, f"{folder}/views")
     return kept

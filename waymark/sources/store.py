@@ -1,28 +1,26 @@
-"""The persisted graph: snapshots in a folder, and a log that says which one counts.
+"""The persisted graph: snapshots in a folder (see snapshots.py), and a log that says which one counts.
 
-A save writes all tables of a snapshot to a folder of its own and then appends one row to the log, so
-a reader sees the old snapshot or the new one, whole, and a job that dies in between leaves no trace
-in the log. Hashes of the files that were read go along.
+Hashes of the files that were read go along. A graph that incremental runs keep up to date has further
+tables; it is read like any other.
 """
 
 from __future__ import annotations
 
 import subprocess
-import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from waymark import schema as S
 from waymark.operators.migrate import migrate
 from waymark.sources.files import porcelain_path
+from waymark.sources.snapshots import Snapshots
 
 VERSION = 3
 HASHES = "path string, sha256 string"
 FLOWS = "seed string, kind string, chain array<string>"
-LOG = "seq long, snapshot string, version int, last_sync_commit string, last_sync_time string, node_count long, edge_count long"
 
 
 @dataclass
@@ -36,54 +34,48 @@ class Stored:
     state: dict
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
-
-
 def log_of(spark: SparkSession, folder: str) -> DataFrame:
     """The log's rows; none where nothing was saved yet."""
-    try:
-        return _read(spark, f"{folder}/log", LOG)
-    except AnalysisException:
-        return spark.createDataFrame([], LOG)
+    return Snapshots(spark, folder).log()
 
 
 def save(nodes: DataFrame, edges: DataFrame, hashes: DataFrame, folder: str, commit: str | None = None, time: str | None = None,
          flows: DataFrame | None = None, version: int = VERSION) -> Stored:
-    """Writes a snapshot; it is the present one as soon as its row is in the log."""
+    """Writes a whole snapshot; it is the present one as soon as its entry is in the log."""
     spark = nodes.sparkSession
-    name = f"snapshot-{uuid.uuid4().hex}"
-    at = f"{folder}/{name}"
-    nodes.write.parquet(f"{at}/nodes")
-    edges.write.parquet(f"{at}/edges")
-    hashes.select("path", "sha256").write.parquet(f"{at}/hashes")
-    (flows if flows is not None else spark.createDataFrame([], FLOWS)).write.parquet(f"{at}/flows")
-    before = log_of(spark, folder).agg(F.max("seq")).first()[0] or 0
-    counts = [spark.read.parquet(f"{at}/{t}").count() for t in ("nodes", "edges")]
-    row = (before + 1, name, version, commit, time, *counts)
-    spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    snapshots = Snapshots(spark, folder)
+    tables = {"nodes": nodes, "edges": edges, "hashes": hashes.select("path", "sha256"), "flows": flows if flows is not None else spark.createDataFrame([], FLOWS)}
+    snapshots.commit(snapshots.entry(), tables, version=version, last_sync_commit=commit, last_sync_time=time)
     return load(spark, folder, None)
 
 
-def load(spark: SparkSession, folder: str, version: int | None = VERSION) -> Stored:
-    """The present snapshot. Another version than asked for is an error (None takes any)."""
-    row = log_of(spark, folder).orderBy(F.desc("seq")).first()
+def load(spark: SparkSession, folder: str, version: int | None = VERSION, seq: int | None = None) -> Stored:
+    """The present snapshot, or an older one by its number. Another version than asked for is an error
+    (None takes any)."""
+    snapshots = Snapshots(spark, folder)
+    row = snapshots.entry(seq)
     if row is None:
         raise FileNotFoundError(f"no graph in {folder}")
     if version is not None and row["version"] != version:
         raise ValueError(f"graph of version {row['version']}, not {version}: build it anew or load it with load_migrated()")
-    at = f"{folder}/{row['snapshot']}"
-    return Stored(spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/edges"), _read(spark, f"{at}/flows", FLOWS), load_hashes(spark, folder), row.asDict())
+    nodes, edges = (snapshots.read(t, row) for t in ("nodes", "edges"))
+    if "at" in nodes.columns:  # kept by incremental runs: the place in the walk is the order
+        nodes, edges = nodes.withColumnRenamed("at", "node_seq"), edges.withColumnRenamed("at", "edge_seq")
+    return Stored(nodes, edges, snapshots.read("flows", row, FLOWS), _hashes(snapshots, row), row.asDict())
 
 
-def load_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, sha256) of the present snapshot; no rows where they are missing or can't be read."""
-    row = log_of(spark, folder).orderBy(F.desc("seq")).first()
+def _hashes(snapshots: Snapshots, row: Row | None) -> DataFrame:
     try:
-        out = _read(spark, f"{folder}/{row['snapshot']}/hashes", HASHES) if row else None
+        out = snapshots.read("hashes", row, HASHES) if row else None
     except AnalysisException:
         out = None
-    return spark.createDataFrame([], HASHES) if out is None else out
+    return snapshots.spark.createDataFrame([], HASHES) if out is None else out
+
+
+def load_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, sha256) of the present snapshot; no rows where they are missing or can't be read."""
+    snapshots = Snapshots(spark, folder)
+    return _hashes(snapshots, snapshots.entry())
 
 
 def load_migrated(spark: SparkSession, folder: str, keep: bool = False) -> Stored:

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from waymark.functions.text import extension
+from waymark.operators import views
 from waymark.operators.build import add_edges, add_nodes, union_all
 from waymark.operators.validate import diff_edges, diff_nodes, freshness, malformed_id
-from waymark.plans.lineage import cut
+from waymark.plans.lineage import cut, small
 from waymark.sources import store
 from waymark.sources.extract import build
 from waymark.sources.files import CONFIG_NAMES, SOURCE_EXTS
+from waymark.sources.snapshots import Snapshots
+from waymark.streaming import incremental
 
 
 def sync(nodes: DataFrame, edges: DataFrame, tracked: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -77,18 +80,42 @@ def change_record(files: DataFrame, nodes: DataFrame, edges: DataFrame, most_fil
     return union_all(parts).join(F.broadcast(changed), F.lit(True), "left_semi")
 
 
-def sync_map(spark: SparkSession, folder: str, files: DataFrame, commit: str | None = None, time: str | None = None) -> DataFrame:
-    """Brings the stored graph up to date with ``files`` (path, content, sha256) and saves it; the
-    change record comes back and is written beside the snapshots. Without a change nothing is saved."""
-    old = store.load_migrated(spark, folder)
-    nodes, edges, states = sync(old.nodes, old.edges, old.hashes, files)
-    states = cut(states.where("state != 'fresh'"))
-    nodes, edges = purge_malformed(nodes, edges)
-    if not states.limit(1).count():
-        none = old.nodes.where("false")
-        return change_record(states.select("path"), none.withColumn("op", F.lit("")), old.edges.where("false"))
-    new = store.save(nodes, edges, files, folder, commit, time, old.flows)
-    lines = cut(change_record(states.select("path"), diff_nodes(old.nodes, new.nodes), diff_edges(old.edges, new.edges)))
+def _text(lines: DataFrame, at: str) -> None:
     if lines.limit(1).count():
-        lines.orderBy("section", "place").select("line").coalesce(1).write.text(f"{folder}/changes/{new.state['seq']:06d}")
+        lines.orderBy("section", "place").select("line").coalesce(1).write.mode("overwrite").text(at)
+
+
+def sync_map(spark: SparkSession, folder: str, files: DataFrame, commit: str | None = None, time: str | None = None, pages: bool = True) -> DataFrame:
+    """Brings the stored graph up to date with ``files`` (path, content, sha256; the whole tree) and saves
+    what changed: nodes, references anywhere that now resolve to something else, flow candidates, the
+    detected stack and reviews of manual bindings. The change record comes back and is written beside the
+    snapshots, as are the pages. Without a change nothing is saved. A graph that was saved whole is built
+    anew, with its asserted rows. Of two runs at once the slower one fails (snapshots.Conflict)."""
+    snapshots = Snapshots(spark, folder)
+    entry = snapshots.entry()
+    if entry is None:
+        raise FileNotFoundError(f"no graph in {folder}")
+    info = {"version": store.VERSION, "last_sync_commit": commit, "last_sync_time": time}
+    if set(incremental.SCHEMAS) <= set(entry["tables"]):
+        old = incremental.Graph(**{t: snapshots.read(t, entry, schema) for t, schema in incremental.SCHEMAS.items()})
+        change = incremental.advance(old, files)
+        states, keys, tables = change.states, change.keys, change.rows
+        before = {t: getattr(old, t).join(small(keys[t]), incremental.KEYS[t], "left_semi") for t in ("nodes", "edges")}
+    else:
+        kept = store.load_migrated(spark, folder)
+        states = cut(freshness(kept.hashes, files).where("state != 'fresh'"))
+        old = incremental.empty(spark)
+        old.nodes, old.edges = incremental.asserted(*purge_malformed(kept.nodes, kept.edges))
+        keys, tables = None, incremental.advance(old, files).applied(old).tables()
+        before = {"nodes": kept.nodes, "edges": kept.edges}
+    if not states.limit(1).count():
+        none = before["nodes"].where("false")
+        return change_record(states.select("path"), none.withColumn("op", F.lit("")), before["edges"].where("false"))
+    now = snapshots.commit(entry, tables, keys, **info)
+    after = tables if keys else {t: snapshots.read(t, now) for t in ("nodes", "edges")}
+    lines = cut(change_record(states.select("path"), diff_nodes(before["nodes"], after["nodes"]), diff_edges(before["edges"], after["edges"])))
+    _text(lines, f"{folder}/changes/{now['seq']:06d}")
+    if pages:
+        new = store.load(spark, folder, seq=now["seq"])
+        views.write_views(new.nodes, new.edges, new.flows, f"{folder}/views")
     return lines
