@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from functools import reduce
 from urllib.parse import urlparse
 
 from pyspark.errors import AnalysisException
@@ -76,32 +77,23 @@ class Snapshots:
         log = self.log()
         return (log if seq is None else log.where(F.col("seq") == seq)).orderBy(F.desc("seq")).first()
 
-    def _rows(self, part: str, table: str, schema: str | None) -> DataFrame:
-        reader = self.spark.read.schema(schema) if schema else self.spark.read
-        return reader.parquet(f"{self.folder}/{part}/{table}")
-
     def read(self, table: str, entry: Row, schema: str | None = None) -> DataFrame:
         """A table as of an entry."""
         return self._merged(table, list(entry["parts"]), schema)
 
     def _merged(self, table: str, parts: list[str], schema: str | None = None) -> DataFrame:
-        out = self._rows(parts[0], table, schema)
+        """All parts in one scan; the number in a part's name tells which one a row is from."""
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        out = reader.parquet(*[f"{self.folder}/{p}/{table}" for p in parts])
         if len(parts) == 1:
             return out
         columns = out.columns
-        out = out.withColumn("__part", F.lit(0))
-        keys = None
-        for i, part in enumerate(parts[1:], 1):
-            out = out.unionByName(self._rows(part, table, schema).withColumn("__part", F.lit(i)), allowMissingColumns=True)
-            own = self.spark.read.parquet(f"{self.folder}/{part}/{table}-keys").withColumn("__last", F.lit(i))
-            keys = own if keys is None else keys.unionByName(own)
-        by = [c for c in keys.columns if c != "__last"]
-        last = small(keys).groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.max("__last").alias("__last"))
-        same = [F.col(c) == F.col(f"__{c}") for c in by]
-        test = same[0]
-        for s in same[1:]:
-            test = test & s
-        return out.join(last, test, "left").where("__last IS NULL OR __part >= __last").select(columns)
+        number = F.regexp_extract("_metadata.file_path", r"/part-([0-9]+)-[0-9a-f]{32}/[^/]*/[^/]*$", 1).cast("long")
+        keys = self.spark.read.parquet(*[f"{self.folder}/{p}/{table}-keys" for p in parts[1:]])
+        by = keys.columns
+        last = keys.withColumn("__n", number).groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.max("__n").alias("__last"))
+        test = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"__{c}") for c in by])
+        return out.withColumn("__part", number).join(small(last), test, "left").where("__last IS NULL OR __part >= __last").select(columns)
 
     def commit(self, after: Row | None, tables: dict[str, DataFrame], keys: dict[str, DataFrame] | None = None, **info) -> Row:
         """Adds an entry that follows ``after`` (None: the first). Without ``keys`` the tables are whole;
