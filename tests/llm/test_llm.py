@@ -38,9 +38,11 @@ def test_line_dedup(spark):
 
 
 def test_line_dedup_repeated_rows_and_empty_table(spark):
-    same = [(1, "a\nb")] * 10
-    got = line_dedup.line_dedup(spark.createDataFrame(same, DOCS))
-    assert [r["n_dropped"] for r in got.collect()] == [2] * 10
+    dropped = lambda rows: [r["n_dropped"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOCS)).collect()]
+    assert dropped([(1, "a\nb")] * 10) == [0] * 10  # one document
+    assert dropped([(i // 2, "a\nb") for i in range(18)]) == [0] * 18  # nine
+    assert dropped([(i // 2, "a\nb") for i in range(20)]) == [2] * 20
+    assert dropped([(None, "a\nb")] * 10) == [2] * 10  # rows without a doc_id are documents of their own
     assert line_dedup.line_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 

@@ -6,8 +6,9 @@ positions that remain. Only hashes and positions go through the count and the jo
 the text itself is shuffled once, by its row key, without a sort.
 
 Cases: a null or empty text is one empty line and stays; a key shorter than ``min_chars`` code
-points is never dropped; every row counts as a document (a repeated row counts again); a null
-doc_id is an ordinary value; input columns named like a result column give way to it.
+points is never dropped; documents are told by their doc_id, so repeated rows count once, and each row
+without one counts; input columns named like a result column give way to it, and names that start with
+two underscores are this operator's own; a text of any length is one row.
 """
 
 from __future__ import annotations
@@ -44,15 +45,11 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: st
     row = [F.col("doc_id"), F.xxhash64(F.col(text)).alias("__t")]
     hashed = materialise(docs.select(*row, _hashes(F.col(text), min_chars).alias("hashes")))
 
-    often = (
-        hashed.select(F.explode(F.array_distinct("hashes")).alias("h"))
-        .where("h IS NOT NULL")
-        .select("h.a", "h.b")
-        .groupBy("a", "b")
-        .count()
-        .where(F.col("count") >= min_docs)
-        .select("a", "b")
-    )
+    # Documents of a hash: a line that very many share is counted in two steps, the first by document, too.
+    held = hashed.select("doc_id", F.explode(F.array_distinct("hashes")).alias("h")).where("h IS NOT NULL")
+    each = held.groupBy("h.a", "h.b", "doc_id").agg(F.count("*").alias("n"))
+    n_docs = F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(1))
+    often = each.groupBy("a", "b").agg(n_docs.alias("n")).where(F.col("n") >= min_docs).select("a", "b")
     often = materialise(often)
     lines = (
         hashed.select("doc_id", "__t", F.posexplode("hashes").alias("pos", "h"))
