@@ -23,11 +23,24 @@ def annotated(rows: DataFrame, keys: list[str], order: list[str], note: Column,
     return rows.withColumn("note", F.last("__note", ignorenulls=True).over(own)).where("__decl").drop("__note", "__decl", "__seg")
 
 
-def outside_spans(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
-    """Points in no span [start, end) of their group: an anti join on the keys and the range."""
-    same = [points[k].eqNullSafe(spans[k]) for k in keys]
-    inside = (spans[start] <= points[at]) & (points[at] < spans[end])
-    return points.join(spans, reduce(lambda a, b: a & b, same) & inside, "left_anti")
+def outside_spans(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, width: int = 1 << 16) -> DataFrame:
+    """Points in no span [start, end) of their group, by a sweep: in the order of positions, a point is
+    inside if the greatest end so far lies beyond it. Positions are cut into blocks of ``width``, each
+    swept by itself; what earlier blocks leave is the greatest end of each, so a large group is shared
+    out and no point meets a span. Nulls are a group of their own; a point at null is outside."""
+    pos = lambda c: F.col(c).cast("double")
+    here = points.select(F.struct(*points.columns).alias("row"), *[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], pos(at).alias("at"), F.lit(None).cast("double").alias("end"))
+    there = spans.select(F.lit(None).cast(here.schema["row"].dataType).alias("row"), *[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], pos(start).alias("at"), pos(end).alias("end"))
+    group = [f"__{i}" for i in range(len(keys))]
+    events = here.unionByName(there.where("at IS NOT NULL AND end > at")).withColumn("block", F.floor(F.coalesce("at", F.lit(0.0)) / width))
+    before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = events.groupBy(*group, "block").agg(F.max("end").alias("most")).withColumn("left", F.max("most").over(before))
+    left = blocks.where("left IS NOT NULL").select(*[F.col(c).alias(f"_{c}") for c in (*group, "block")], "left")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*group, "block")])
+    upto = Window.partitionBy(*group, "block").orderBy("at", F.col("end").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    swept = events.withColumn("reach", F.max("end").over(upto)).where("row IS NOT NULL").join(left, same, "left")
+    inside = F.greatest("reach", "left") > F.col("at")
+    return swept.where(~F.coalesce(inside, F.lit(False))).select("row.*")
 
 
 def global_rank(rows: DataFrame, key: str) -> DataFrame:

@@ -26,7 +26,7 @@ from waymark.plans.lineage import small
 MAX_PARTS = 16
 ENTRY = (
     "seq long, snapshot string, version int, last_sync_commit string, last_sync_time string, node_count long, edge_count long,"
-    " parts array<string>, tables array<string>"
+    " parts array<string>, tables array<string>, batch long"
 )
 
 

@@ -148,10 +148,12 @@ def _renewed(edges: DataFrame) -> DataFrame:
     })
 
 
-def advance(old: Graph, files: DataFrame) -> Change:
-    """What changes when the tree is ``files`` (path, content, sha256; all of it)."""
-    spark = files.sparkSession
-    states = cut(freshness(old.hashes, files).where("state != 'fresh'"))
+def advance(old: Graph, files: DataFrame, states: DataFrame | None = None) -> Change:
+    """What changes when the tree is ``files`` (path, content, sha256; all of it). With ``states`` (path,
+    state: deleted or another) the files are only those that changed; the stack, which is told from the
+    whole tree, then stays as it was."""
+    spark, whole = files.sparkSession, states is None
+    states = cut(freshness(old.hashes, files).where("state != 'fresh'") if whole else states.select("path", "state"))
     gone = states.select("path")
     fresh = files.join(small(states.where("state != 'deleted'").select("path")), "path", "left_semi")
     new_nodes, new_edges = claims(fresh)
@@ -190,7 +192,7 @@ def advance(old: Graph, files: DataFrame) -> Change:
 
     name = F.element_at(F.split("path", "/"), -1)
     texts = files.select("path", F.when(detect.any_of(name, detect.READ), F.decode("content", "UTF-8")).alias("text"))
-    stack = cut(detect.detect(spark, texts))
+    stack = cut(detect.detect(spark, texts)) if whole else old.stack
     rows = {
         "nodes": nodes, "spare_nodes": spare_nodes, "edges": edges, "spare_edges": spare_edges, "flows": flows, "stack": stack,
         "hashes": files.select("path", "sha256").join(small(gone), "path", "left_semi"),

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.operators import detect
+from waymark.operators import detect, needles
 from waymark.plans.lineage import cut
 from waymark.queries import read, register
 from waymark.sources.extract import build
@@ -140,3 +140,16 @@ UNION ALL SELECT DISTINCT 'migration:schema.sql', 'migration' FROM f WHERE sort
 def extracted_part_nodes(spark, d):
     """Nodes that the extractors find in the files of the whole part table."""
     return build(cut(parts(spark, d)))[0].select("id", "kind")
+
+
+# --- Many needles
+
+
+@register("""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS needle FROM benchmark)
+SELECT needle, count(*) AS n_docs FROM documents, n WHERE contains(lower(text), needle) GROUP BY needle""")
+def needle_counts(spark, d):
+    """Of each longer word of the benchmark the documents that contain it, in words or across them."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{6,})"), F.lit(1)))
+    own = read(spark, d, "benchmark").select(words.alias("needle"))
+    found = needles.occurrences(read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text")), own)
+    return found.groupBy("needle").agg(F.count("*").alias("n_docs"))
