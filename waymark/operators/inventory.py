@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark import schema as S
 from waymark.functions.text import let
 from waymark.operators.build import first_wins, last_wins, resolved_edges, union_all
-from waymark.plans.lineage import cut
+from waymark.plans.lineage import cut, small
 
 
 def kinds(nodes: DataFrame) -> DataFrame:
@@ -275,3 +277,59 @@ def mode(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...] | None, mode
     back = fanout(live, each, "dst").join(own, F.col("dst") == own["id"], "left_semi").select(F.col("src").alias("id"))
     ids = union_all([own, out, back]).distinct()
     return ranked(keep.where(F.col("kind").isin(*mode_kinds)).join(ids, "id", "left_semi"), live, most)
+
+
+#: The explorer's modes: edge types (None: any), kinds of the seeds. Fixed values.
+MODES = {
+    "dependency": (S.DEP_EDGES, (*S.LOGIC_KINDS, *S.ENTRY_KINDS, "external-service", "configuration", "deployment-unit")),
+    "call-graph": (S.CALL_EDGES, (*S.LOGIC_KINDS, *S.ENTRY_KINDS)),
+    "data-flow": (S.DATA_EDGES, (*S.LOGIC_KINDS, *S.DATA_KINDS, *S.ENTRY_KINDS, "external-service", "database")),
+    "api": (None, S.ENTRY_KINDS),
+    "database": (None, (*S.DATA_KINDS, "database")),
+    "external": (None, ("external-service",)),
+}
+
+
+def view_modes(nodes: DataFrame, edges: DataFrame, modes: dict = MODES, each: int = 8, most: int = 400, most_edges: int = 1200) -> tuple[DataFrame, DataFrame]:
+    """((mode, id), (mode, src, dst, type)) of all modes in one traversal; a mode is a bit of a mask.
+
+    A mode's seeds are the first most / 2 nodes of its kinds by rank (of all kinds where it has none). Of
+    the first ``each`` edges out of and into a seed those of the mode's types bring both ends in; the
+    first ``most`` by rank stay, with the first ``most_edges`` edges among them in edge order. Files
+    are in no mode. Up to 62 modes; ranks per mode are bounded before the shuffle."""
+    names = list(modes)
+    bits = lambda test: reduce(lambda a, b: a.bitwiseOR(b), [F.when(test(m), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, m in enumerate(names)])
+    each_bit = F.explode(F.filter(F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(i)) for i in range(len(names))]), lambda x: x.isNotNull()))
+    rank = [S.conf_rank(F.coalesce("confidence", F.lit("UNKNOWN"))).alias("c"), S.kind_rank(F.col("kind")).alias("k"), (-F.coalesce("out", F.lit(0))).alias("o"), F.col("name"), F.col("node_seq")]
+    live = cut(resolved_edges(edges, nodes).select("src", "dst", "type", "edge_seq"))
+    out = live.groupBy(F.col("src").alias("__s")).agg(F.count("*").alias("out"))
+    keep = nodes.where("kind != 'file'").join(out, F.col("id") == F.col("__s"), "left")
+    keep = cut(keep.select("id", F.struct(*rank).alias("rank"), bits(lambda m: F.col("kind").isin(*modes[m][1])).alias("mask")))
+
+    def first(rows: DataFrame, by: str, n: int) -> DataFrame:
+        """The first n rows of each mode of the mask, with the mask cut down to that mode."""
+        w = Window.partitionBy("bit").orderBy(by)
+        return rows.withColumn("bit", each_bit).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n).drop("pos", "mask")
+
+    # One row a mode: which modes have seeds of their own; the others take any node.
+    has = keep.agg(F.bit_or("mask")).first()[0] or 0
+    missing = sum(1 << i for i in range(len(names)) if not has >> i & 1)
+    seeds = first(keep.withColumn("mask", F.col("mask").bitwiseOR(F.lit(missing).cast("long"))), "rank", most // 2)
+    mask_of = lambda df: df.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    seeds = cut(mask_of(seeds))
+    typed = live.withColumn("types", bits(lambda m: F.lit(modes[m][0] is None) | F.col("type").isin(*(modes[m][0] or ()))))
+    inside = keep.select(F.col("id").alias("__i"))
+    found = [seeds]
+    for end in ("src", "dst"):
+        own = typed.join(small(seeds.withColumnRenamed("id", end)), end)
+        near = fanout(own, each, end).withColumn("mask", F.col("mask").bitwiseAND(F.col("types"))).where("mask != 0")
+        near = near.join(inside, F.col("src") == F.col("__i"), "left_semi").join(inside, F.col("dst") == F.col("__i"), "left_semi")
+        found.append(near.select(F.explode(F.array("src", "dst")).alias("id"), "mask"))
+    want = union_all(found).groupBy("id").agg(F.bit_or("mask").alias("mask")).join(keep.drop("mask"), "id")
+    want = cut(first(want, "rank", most).select("id", "bit"))
+    masks = small(cut(mask_of(want)))
+    a, b = (masks.select(F.col("id").alias(k), F.col("mask").alias(f"{k}_mask")) for k in ("src", "dst"))
+    among = typed.join(a, "src").join(b, "dst").withColumn("mask", F.col("types").bitwiseAND(F.col("src_mask")).bitwiseAND(F.col("dst_mask"))).where("mask != 0")
+    links = first(among.select("src", "dst", "type", "edge_seq", "mask").withColumn("by", F.struct("edge_seq", "src", "dst", "type")), "by", most_edges)
+    label = F.element_at(F.array(*[F.lit(m) for m in names]), F.col("bit") + 1).alias("mode")
+    return want.select(label, "id"), links.select(label, "src", "dst", "type")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.text import extension, glob_regex
+from waymark.sources.walk import contents, walk
 
 # Folders, suffixes and extensions of a repository scan.
 SKIP_DIRS = (
@@ -103,14 +104,11 @@ def scan_tree(spark: SparkSession, root: str, map_dir: str | None = None) -> Dat
 
 def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES,
          skip_dirs: tuple[str, ...] = SKIP_DIRS) -> DataFrame:
-    """(path, length, content, sha256) of the wanted files below ``root``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split("://", 1)[-1]
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + "".join("\\" + c if not c.isalnum() else c for c in base) + "/", "")
-    files = files.withColumn("path", rel)
-    return files.where(wanted(F.col("path"), F.col("length"), skip_dirs, patterns, max_bytes)).select(
-        "path", "length", "content", F.sha2("content", 256).alias("sha256")
-    )
+    """(path, length, content, sha256) of the wanted files below ``root``. Skipped folders are never
+    listed, and only wanted files are opened. Files and folders with a leading dot or underscore count."""
+    seen = walk(spark, root, skip_dirs, (".shots",))
+    files = seen.where(~F.col("folder") & wanted(F.col("path"), F.col("length"), skip_dirs, patterns, max_bytes))
+    return contents(files.select("path", "length"), root).select("path", "length", "content", F.sha2("content", 256).alias("sha256"))
 
 
 def gitignore_dirs(text: DataFrame) -> DataFrame:
