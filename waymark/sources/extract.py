@@ -457,6 +457,16 @@ def fallback(out: Emitter, text: str) -> None:
                 out.edge(fid, f"unresolved:table-ref:{m[1].lower()}", "references", i, "LOW", **why)
 
 
+@dataclass(frozen=True)
+class Added:
+    """An extractor that a caller adds: it travels to the executors with the function that uses it."""
+
+    name: str
+    claims: Callable[[str], bool]
+    run: Extractor
+    priority: int = 0
+
+
 def _load() -> None:
     from waymark.sources import braces, configs  # noqa: F401  register their extractors
 
@@ -467,14 +477,17 @@ def extractors_for(path: str) -> list[str]:
     return [n for n, claims, _ in REGISTRY if claims(path)] or ["fallback"]
 
 
-def extract_text(path: str, text: str) -> tuple[list[dict], list[str]]:
-    """(rows, errors) of one file."""
-    _load()
+def extract_text(path: str, text: str, added: tuple[Added, ...] = ()) -> tuple[list[dict], list[str]]:
+    """(rows, errors) of one file. Extractors that were added run by priority, those below zero before the
+    library's; a path that one of them claims is not left to the fallback."""
     out, errors = Emitter(path), []
+    mine = sorted((a for a in added if a.claims(path)), key=lambda a: a.priority)
+    names = [n for n in extractors_for(path) if n != "fallback" or not mine]
     by_name = {n: f for n, _, f in REGISTRY} | {"fallback": fallback}
-    for name in extractors_for(path):
+    runs = [(a.name, a.run) for a in mine if a.priority < 0] + [(n, by_name[n]) for n in names] + [(a.name, a.run) for a in mine if a.priority >= 0]
+    for name, run in runs:
         try:
-            by_name[name](out, text)
+            run(out, text)
         except Exception as e:  # one bad file never fails the scan
             errors.append(f"{path} [{name.upper()}]: {e}")
             if name == "python":
