@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark import schema as S
 from waymark.functions.text import slug
 from waymark.operators.build import first_wins, union_all
 from waymark.sources.files import markdown_sections
@@ -122,8 +123,13 @@ def insert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def bind(code: DataFrame, targets: DataFrame, why: str, author: str = "human") -> DataFrame:
-    """Manual binding edges (code realizes target) for rows code (id) and targets (id, type)."""
-    pairs = code.select(F.col("id").alias("src")).join(targets.select(F.col("id").alias("dst"), "type"))
+    """Manual binding edges of each row of code (id) to each of targets (id, type): what it realizes, its
+    slice and its decision, so three at most. bindings.bind_asks looks names up and binds many at once."""
+    few = targets.select("id", "type").limit(4).collect()
+    if len(few) > 3:
+        raise ValueError("a binding has three targets at most")
+    ends = F.array(*[F.struct(F.lit(r["id"]).alias("dst"), F.lit(r["type"]).alias("type")) for r in few]) if few else F.array().cast("array<struct<dst:string,type:string>>")
+    pairs = code.select(F.col("id").alias("src"), F.explode(ends).alias("t")).select("src", "t.dst", "t.type")
     return pairs.select("src", "dst", "type", F.lit("asserted").alias("provenance"), F.lit("manual").alias("binding"), F.lit(why).alias("why"), F.lit(author).alias("author"))
 
 
@@ -163,6 +169,27 @@ def capabilities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("cap", "title", "author", "source", F.coalesce("n_requirements", F.lit(0)).alias("n_requirements"), F.coalesce("n_code", F.lit(0)).alias("n_code"), status.alias("status"))
 
 
+def capability_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The explorer's table of capabilities: a row for each capability, its requirements and the code that
+    realizes them (nulls where there is none), with the reason. A requirement is stale where one of its
+    bindings waits for a review, or it is itself the code of one; else realized if code is bound, else unbound."""
+    c = F.col
+    own = nodes.where(c("kind").isin(*S.INTENT_KINDS) | c("id").startswith("intent:"))
+    label = lambda df, i, n: df.select(c("id").alias(i), F.coalesce("name", "id").alias(n))
+    caps = label(own.where("kind = 'capability'"), "cap", "title")
+    reqs = label(own.where("kind = 'requirement'"), "requirement", "requirement_title")
+    member = edges.where("type = 'part-of'").select(c("src").alias("requirement"), c("dst").alias("cap")).distinct()
+    real = edges.where("type = 'realizes'").join(own.select(c("id").alias("dst")).distinct(), "dst", "left_semi")
+    waits = real.where("review = 'needs-review'")
+    stale = waits.select(c("src").alias("requirement")).union(waits.select(c("dst"))).distinct().withColumn("stale", F.lit(True))
+    code = real.groupBy(c("dst").alias("requirement"), c("src").alias("code")).agg(F.min_by("why", "edge_seq").alias("why"))
+    at = nodes.select(c("id").alias("code"), c("name").alias("label"), c("kind").alias("code_kind"), "file", "line")
+    code = code.join(at, "code", "left").withColumn("label", F.coalesce("label", "code"))
+    rows = reqs.join(member, "requirement").join(stale, "requirement", "left").join(code, "requirement", "left")
+    status = F.when(c("stale"), "stale").when(c("code").isNotNull(), "realized").when(c("requirement").isNotNull(), "unbound").alias("status")
+    return caps.join(rows, "cap", "left").select("cap", "title", "requirement", "requirement_title", status, "code", "label", "code_kind", "file", "line", "why")
+
+
 def responsible_for(edges: DataFrame, capability: str) -> DataFrame:
     """(code, via): code that realizes a capability itself or one of its parts."""
     parts = edges.where((F.col("type") == "part-of") & (F.col("dst") == capability)).select(F.col("src").alias("m"))

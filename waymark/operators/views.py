@@ -12,6 +12,7 @@ from waymark.functions.text import method_path
 from waymark.operators import inventory, traverse, validate
 from waymark.operators.build import last_wins, union_all
 from waymark.operators.migrate import markdown_rows
+from waymark.operators.scopes import global_rank
 from waymark.plans.lineage import Levels
 
 # What the pages leave out or are made of.
@@ -352,8 +353,8 @@ def focus_flow(nodes: DataFrame, edges: DataFrame, text: str) -> DataFrame:
     entry = F.when(F.col("kind").isin(*S.ENTRY_KINDS), 0).otherwise(1)
     seed = hits.orderBy(entry, "node_seq").limit(1).select("id")
     own = edges.where("type IN ('handled-by', 'exposes', 'consumes')").join(F.broadcast(seed), F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "edge_seq")
-    w = Window.orderBy("edge_seq")  # of one node's edges of three types
-    return seed.select("id", F.lit(0).alias("pos")).unionByName(own.select("id", F.row_number().over(w).alias("pos")))
+    # A hub has very many: ranked over range partitions.
+    return seed.select("id", F.lit(0).alias("pos")).unionByName(global_rank(own, "edge_seq").select("id", F.col("rank").cast("int").alias("pos")))
 
 
 # --- Intent hygiene
