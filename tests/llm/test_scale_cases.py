@@ -210,3 +210,32 @@ def test_stages_take_empty_and_repeated_rows(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[1:4]:
         kept = {r["doc_id"] for r in stage(spark, df, str(tmp_path)).collect()}
         assert {*range(9), 50} <= kept, name
+
+
+def test_parts_measure_like_whole_texts(monkeypatch):
+    """Tokenising each distinct part once gives the tokens of the whole text, whatever blocks and memory."""
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choice("ab é\u3000  'sx1\n\t\x1c,. 漢字😀\u00a0▁ \u0301 ") for _ in range(rnd.randint(0, 60))) for _ in range(400)]
+    texts += ["", " ", "x", "word " * 500, " ".join(f"w{i % 70}" for i in range(900))]
+    meters = []
+    for path in fertility.vocabulary_paths():
+        with open(path, "rb") as f:
+            meters.append(fertility.Meter(path, f.read()))
+    assert len(meters) == 3 and all(m.cuts for m in meters)
+
+    def whole(m, text):
+        ids = m.encode([text])[0]
+        n = len(ids)
+        if not n:
+            return 0, 0.0, 0.0, 0.0
+        share = np.unique(ids, return_counts=True)[1] / n
+        return n, len(text) / n, float(m.fallback[ids].mean()), float(-(share * np.log2(share)).sum())
+
+    want = [[whole(m, t) for m in meters] for t in texts]
+    for block, most in ((1 << 20, 200_000), (100, 50)):
+        monkeypatch.setattr(fertility, "BLOCK", block)
+        monkeypatch.setattr(fertility, "KNOWN", most)
+        for m in meters:
+            m.forget()
+        got = list(fertility.measure_texts(texts, meters, fertility.Parts()))
+        assert np.allclose(np.array(got), np.array(want), atol=1e-9)

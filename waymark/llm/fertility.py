@@ -7,7 +7,7 @@ from all documents of the language (or, without a language, of the main script)
 rules. A measure is bad if the text is outside the bands of most vocabularies; one bad measure rejects
 a document. A group of fewer than MIN_GROUP such documents uses the bands of all documents.
 
-One Python pass measures the documents in Arrow batches; the measures (some 60 bytes a row) are
+One Python pass measures the documents in Arrow batches, tokenising each distinct part of a text once; the measures (some 60 bytes a row) are
 written to the shared folder, and quantile sketches, combined before the shuffle, give the bands.
 
 Cases: null or empty text has no words and fails the base rules; a null doc_id and repeated rows
@@ -16,8 +16,9 @@ are measured like any row; extra columns are not read; an empty table gives an e
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +26,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialise, table
+from .wordhash import BLOCK, batches_of
 
 TOKENIZERS = "/opt/tokenizers"
-#: A byte-level vocabulary for many languages, and one with real byte fallback.
-VOCABULARIES = ("byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model")
+#: Byte-level vocabularies for many languages and for English, and one with real byte fallback.
+VOCABULARIES = ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model")
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 #: The published pre-tokenisation pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Half a band is the larger of SPREADS robust deviations and a share of the median (for byte_share
 #: an absolute width; upwards, chars_per_token has twice that), and wider in short texts: times sqrt(1 + SHORT / n_tokens).
 SPREADS, SHORT, MIN_GROUP = 4.0, 400.0, 30
+#: A task forgets the parts of texts when it has more than this.
+KNOWN = 200_000
 SHARES = {"chars_per_token": 0.075, "token_entropy": 0.25, "byte_share": 0.04}
 BASE_MIN_WORDS, BASE_MAX_REPEAT_PERCENT = 50, 50
 
+_BLANK = re.compile(r" (?<=[^\s\u2581] )(?=[^\s\u2581])")
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 #: Blocks of script names by their first code points, for texts without a language.
 _SCRIPTS = ((0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "other"), (0x0590, "semitic"),
@@ -88,41 +93,117 @@ def script_of(text: str) -> str:
     return _SCRIPTS[int(counts.argmax()) - 1][1] if counts.any() else "none"
 
 
+class Parts(dict):
+    """Numbers of the distinct parts of texts, in order of their first sight.
+
+    Texts are cut at single blanks between other characters. Neither the pre-tokenisation pattern nor a
+    piece ever joins what stands on both sides of such a blank, so a part has the same tokens in every
+    text, and is tokenised once. A text's first part, which follows no blank, is led by a line feed,
+    as no other part is.
+    """
+
+    def __missing__(self, part: str) -> int:
+        self[part] = n = len(self)
+        return n
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of tokens one after the other, and their lengths."""
+    return np.array(list(itertools.chain.from_iterable(lists)), dtype=np.int32), np.array(list(map(len, lists)), dtype=np.int64)
+
+
 class Meter:
     """A vocabulary that measures texts: a rank file (byte-level) or a piece model (with fallback)."""
 
     def __init__(self, name: str, content: bytes, pattern: str = PATTERN):
+        self.forget()
         if name.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_proto=content)
-            self.encode = lambda text: model.encode(text, num_threads=1)
-            self.fallback = np.array([model.is_byte(i) or model.is_unknown(i) for i in range(model.get_piece_size())])
+            self.encode = lambda texts: _flat(model.encode(texts, num_threads=1))
+            self.follow = self.encode  # the model leads each with a blank of its own
+            pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+            self.fallback = np.array([model.is_byte(i) or model.is_unknown(i) for i in range(len(pieces))])
+            self.cuts = all("\u2581" not in p.lstrip("\u2581") for p in pieces)
             return
         import base64
 
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
-        self.encode = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encode = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encode = lambda texts: _flat(list(map(encode, texts)))
+        self.cuts = pattern == PATTERN
         self.fallback = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        size = np.zeros(len(self.fallback), dtype=np.int64)
+
+        def follow(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """All at once, as one text; a part ends at the token that reaches its last byte."""
+            ids = np.array(encode("".join([" " + p for p in parts])), dtype=np.int32)
+            ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in parts), np.int64, len(parts)))
+            return ids, np.diff(np.searchsorted(np.cumsum(size[ids]), ends) + 1, prepend=0)
+
+        self.follow = follow
         for token, rank in ranks.items():
+            size[rank] = len(token)
             try:
                 token.decode()
             except UnicodeDecodeError:
                 self.fallback[rank] = True
 
-    def measure(self, text: str) -> tuple[int, float, float, float]:
-        """n_tokens, characters per token, byte-fallback share, entropy in bits."""
-        ids = np.array(self.encode(text), dtype=np.int32) if text else np.zeros(0, np.int32)
-        n = len(ids)
-        if not n:
-            return 0, 0.0, 0.0, 0.0
-        ids.sort()
-        edges = np.flatnonzero(np.diff(ids)) + 1
-        counts = np.diff(np.concatenate(([0], edges, [n])))
-        entropy = float(np.log2(n) - (counts * np.log2(counts)).sum() / n)
-        return n, len(text) / n, float(self.fallback[ids].mean()), max(entropy, 0.0)
+    def forget(self) -> None:
+        self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, parts: list[str]) -> None:
+        """Tokenises further parts, in the order of their numbers."""
+        first = np.fromiter((p[0] == "\n" for p in parts), bool, len(parts))
+        ids, length = self.encode([p[1:] for p in parts if p[0] == "\n"])
+        more, lengths = self.follow([p for p in parts if p[0] != "\n"])
+        both = np.concatenate((length, lengths))
+        place = np.argsort(np.concatenate((np.flatnonzero(first), np.flatnonzero(~first))))
+        self.start = np.concatenate((self.start, (len(self.flat) + np.cumsum(both) - both)[place]))
+        self.length = np.concatenate((self.length, both[place]))
+        self.flat = np.concatenate((self.flat, ids, more))
+
+    def measure(self, doc: np.ndarray, part: np.ndarray, chars: np.ndarray) -> list[tuple[int, float, float, float]]:
+        """n_tokens, characters per token, byte-fallback share, entropy in bits of texts, from their parts."""
+        length = self.length[part]
+        at = np.repeat(self.start[part] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        vocabulary = len(self.fallback)
+        key = np.sort(np.repeat(doc * vocabulary, length) + self.flat[at])
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        counts = np.diff(first, append=len(key))
+        doc, token = np.divmod(key[first], vocabulary)
+        total = lambda x: np.bincount(doc, x, minlength=len(chars))
+        n = total(counts)
+        some = np.maximum(n, 1)
+        entropy = np.log2(some) - total(counts * np.log2(counts)) / some
+        columns = n.astype(np.int64), np.where(n > 0, chars / some, 0.0), total(counts * self.fallback[token]) / some, np.maximum(entropy, 0.0)
+        return list(zip(*map(np.ndarray.tolist, columns), strict=True))
+
+
+def measure_texts(texts: list[str], meters: list[Meter], known: Parts) -> Iterator[tuple[tuple[int, float, float, float], ...]]:
+    """The measures of each text by each meter. ``known`` has the parts that the meters have learnt; it is
+    emptied when it has become large, which changes no result."""
+    cut = _BLANK.split if all(m.cuts for m in meters) else lambda text: [text]
+    for i, j in batches_of(texts, [len(t) for t in texts], BLOCK):
+        if len(known) > KNOWN:
+            known.clear()
+            for m in meters:
+                m.forget()
+        held, seen = [], len(known)
+        for t in texts[i:j]:
+            first, *rest = cut(t)
+            numbers = list(map(known.__getitem__, rest))
+            held.append(np.array([*numbers, known["\n" + first]] if t else [], dtype=np.int64))
+        doc = np.repeat(np.arange(j - i), list(map(len, held)))
+        part = np.concatenate(held)
+        chars = np.array([len(t) for t in texts[i:j]])
+        new = list(itertools.islice(known, seen, None))
+        for m in meters:
+            m.learn(new)
+        yield from zip(*(m.measure(doc, part, chars) for m in meters), strict=True)
 
 
 def vocabulary_paths(folder: str = TOKENIZERS, names: tuple[str, ...] = VOCABULARIES) -> list[str]:
@@ -134,7 +215,7 @@ def measures(docs: DataFrame, vocabularies: list[str] | None = None, pattern: st
     files = []
     for path in vocabularies or vocabulary_paths():
         with open(path, "rb") as f:
-            files.append((path, f.read()))  # public vocabularies, below 2 MB in all, go along with the tasks
+            files.append((path, f.read()))  # public vocabularies, below 3 MB in all, go along with the tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meters = [Meter(name, content, pattern) for name, content in files]
@@ -142,13 +223,14 @@ def measures(docs: DataFrame, vocabularies: list[str] | None = None, pattern: st
             ("doc_id", pa.int64()), ("band", pa.string()), *[(c, pa.int64()) for c in (
                 "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
             ("n_tokens", pa.list_(pa.int64())), *[(c, pa.list_(pa.float64())) for c in MEASURES]])
+        known = Parts()
         for batch in batches:
+            texts = [(t or "").encode("utf-8", "replace").decode() for t in batch.column(1).to_pylist()]
             rows = []
-            for doc, text, lang in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                text = (text.as_py() or "").encode("utf-8", "replace").decode()
-                band = lang.as_py()
-                measured = zip(*(m.measure(text) for m in meters), strict=True)
-                rows.append((doc.as_py(), f"lang:{band}" if band else f"script:{script_of(text)}", *word_counts(text), *map(list, measured)))
+            each = zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), measure_texts(texts, meters, known), strict=True)
+            for doc, text, band, measured in each:
+                band = f"lang:{band}" if band else f"script:{script_of(text)}"
+                rows.append((doc, band, *word_counts(text), *map(list, zip(*measured, strict=True))))
             cols = list(zip(*rows, strict=True)) or [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
