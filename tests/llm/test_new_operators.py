@@ -271,3 +271,20 @@ def test_long_band_lists_lose_no_link(spark):
     docs = documents(spark, [(d, t, "en", "s") for d, t in rows])
     got = bbit_minhash.near_duplicates(docs, family=16).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_components(rows, 4, 80)
+
+
+def test_links_that_only_left_out_lists_tell_are_found(spark, monkeypatch):
+    """One band list holds all sets and every other band is a set's own, so all of them leave it out."""
+    def one_list(least):
+        own = least.sum(axis=0)[None, :] + np.arange(bbit_minhash.BANDS, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+        own[0] = 1 << 20
+        return (own | np.uint64(63)).T
+
+    monkeypatch.setattr(bbit_minhash, "band_keys", one_list)
+    rng = random.Random(5)
+    rows = []
+    for i in range(0, 40, 2):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        rows += [(i, " ".join(words), None, None), (i + 1, " ".join(words[:-3] + ["x", "y", "z"]), None, None)]
+    got = {r["doc_id"]: r["component_id"] for r in bbit_minhash.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(40)}

@@ -13,9 +13,10 @@
    and agreement is a count of bits over the planes.
 4. What is left is confirmed on the full sets; links make components.
 
-How sure: sets at the threshold s agree in a band with probability s^ROWS; all bands that a set doesn't
-leave out fail with (1 - s^ROWS)^(BANDS - SLACK), under 10^-8 for 0.8. The bound on differing minima is
-further off than that. Both are chances per link at the very threshold, and fall fast above it.
+How sure: sets at the threshold s agree in a band with probability s^ROWS; all bands fail with
+(1 - s^ROWS)^BANDS, under 10^-10 for 0.8. If all bands in which they agree are left out, the complete keys
+tell the pair with certainty. The bound on differing minima is further off than that. Both are chances per
+link at the very threshold, and fall fast above it.
 
 Cases: null or empty texts and texts without words have no shingles, link with nothing and are their own
 component; fewer words than k form one shingle; rows with a null doc_id take no part in linking
@@ -29,17 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
-from .jaccard import FAMILY, class_of, classes_of, components_of, meetings, salted, sets_of
+from .common import broadcast_if_small, discard, materialise, table
+from .jaccard import CLASSES, FAMILY, Scheme, class_of, classes_of, components_of, index_entries, meetings, salted, sets_of
 from .wordhash import mix
 
 WORDS, PERCENT = 4, 80
 BANDS, ROWS, BITS = 48, 4, 4
 MINIMA = BANDS * ROWS
 SLACK = 12
+#: The band keys' size class for components_of: above those of the complete keys.
+BAND_CLASS = CLASSES - 1
 #: Shingles that are hashed at a time (they stay in the processor's cache).
 BLOCK = 1 << 15
 
@@ -79,11 +82,11 @@ def planes(least: np.ndarray) -> np.ndarray:
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    """(sets, BANDS): hashes of the bands' minima; their last bits are 0 (one size class for all)."""
+    """(sets, BANDS): hashes of the bands' minima; their last bits tell the bands' class."""
     key = np.zeros((BANDS, least.shape[1]), dtype=np.uint64) + mix(np.arange(BANDS, dtype=np.uint64))[:, None]
     for r in range(ROWS):
         key = mix(key ^ least[r::ROWS])
-    return (key & ~np.uint64(63)).T
+    return (key | np.uint64(BAND_CLASS)).T
 
 
 def similarity(agreeing: float, total: int = MINIMA, bits: int = BITS) -> float:
@@ -150,13 +153,31 @@ def band_entries(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "keys").mapInArrow(run, "key long, cls long, salt int")
 
 
+def _of_left_out_lists(met: DataFrame) -> DataFrame:
+    """(cls): the classes of lists that some class leaves out."""
+    listed = met.where("key IS NOT NULL").select("key", F.col("a").alias("cls")).distinct()
+    listed = materialise(listed.withColumn("many", F.count("*").over(Window.partitionBy("cls"))))
+    lists = materialise(listed.where(F.col("many") <= SLACK).select("key").distinct())
+    out = materialise(listed.join(broadcast_if_small(lists), "key", "left_semi").select("cls").distinct())
+    discard(listed, lists)
+    return out
+
+
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, family: int = FAMILY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     prof = materialise(signatures(docs, k))
     classes = classes_of(prof, "bits", "keys")
     met = materialise(meetings(band_entries(classes)))
-    out = components_of(docs, prof, classes, met, [SLACK], near_signatures, k, percent, family)
+    scheme = Scheme(percent)
+    slack = [scheme.slack(g) for g in range(len(scheme.ends) - 1)]
+    slack += [0] * (BAND_CLASS - len(slack)) + [SLACK]
+    rest = _of_left_out_lists(met)
+    if rest.limit(1).count():
+        reps = materialise(classes.select("cls", "rep").join(broadcast_if_small(rest), "cls", "left_semi").select("rep"))
+        own = docs.join(broadcast_if_small(reps), docs["doc_id"] == reps["rep"], "left_semi")
+        met = met.unionByName(materialise(meetings(index_entries(own, k, percent))))
+    out = components_of(docs, prof, classes, met, slack, near_signatures, k, percent, family)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
