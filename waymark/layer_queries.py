@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark import schema as S
 from waymark.operators import inventory, layers, traverse
+from waymark.plans.lineage import dealt
 from waymark.queries import LIVE_SQL, _in, _rank_sql, graph, register
 from waymark.sources import table_function
 from waymark.table_sources import _PARTS_SQL, parts
@@ -103,5 +104,5 @@ UNION ALL SELECT path, 'migration:schema.sql', 'migration' FROM f WHERE sort = 2
 def extracted_in_sql(spark, d):
     """What the extractors find in the file of each part, by the table function in a lateral join."""
     table_function.register(spark)
-    files = parts(spark, d)
+    files = dealt(parts(spark, d), "path")
     return spark.sql("SELECT f.path, e.id, e.kind FROM {files} f, LATERAL extract_rows(f.path, f.content) e WHERE e.row = 'node'", files=files)

@@ -13,14 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators import detect, needles
-from waymark.plans.lineage import cut
+from waymark.plans.lineage import cut, dealt
 from waymark.queries import read, register
 from waymark.sources.extract import build
 from waymark.streaming import incremental
 
 
 def _file(df: DataFrame, path: Column, text: Column) -> DataFrame:
-    rows = df.select(path.alias("path"), F.encode(text, "UTF-8").alias("content"))
+    """Dealt to all tasks before the texts are made: the keys of very many files fit into one split."""
+    rows = dealt(df, path).select(path.alias("path"), F.encode(text, "UTF-8").alias("content"))
     return rows.withColumn("sha256", F.sha2("content", 256))
 
 
