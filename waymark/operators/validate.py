@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark import schema as S
-from waymark.operators.build import union_all, with_placeholder
+from waymark.operators.build import missing, union_all, with_placeholder
 
 
 def malformed_id(col) -> F.Column:
@@ -23,9 +23,12 @@ def malformed_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def broken_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose source is missing, or whose target is missing and no placeholder."""
-    ids = nodes.select(F.col("id").alias("__s")).distinct()
-    rows = with_placeholder(edges, nodes).join(ids, F.col("src") == F.col("__s"), "left")
-    return rows.where(F.col("__s").isNull() | (~F.col("dst_exists") & ~F.col("placeholder"))).select("src", "dst", "type", "file", "line")
+    gone = missing(edges, nodes, "src", "dst")
+    here, there = (gone.select(F.col("__id").alias(k)) for k in ("__s", "__d"))
+    rows = edges.join(here, F.col("src") == F.col("__s"), "left").join(there, F.col("dst") == F.col("__d"), "left")
+    dst = F.col("dst")
+    lost = F.col("__d").isNotNull() & ~S.is_unresolved(dst) & ~S.bare_placeholder(dst)
+    return rows.where(F.col("src").isNull() | F.col("__s").isNotNull() | lost).select("src", "dst", "type", "file", "line")
 
 
 def issues(nodes: DataFrame, edges: DataFrame, unresolved: DataFrame, stale: DataFrame | None = None) -> DataFrame:
