@@ -79,32 +79,34 @@ def layer_order(nodes: DataFrame, edges: DataFrame, sweeps: int = 4) -> DataFram
 
     nodes are (id, layer): the layers' names or any numbers below 1,000; empty layers collapse. edges
     (src, dst) count as often as they stand there. Each step ranks one layer over range partitions, so
-    no layer has to fit into a task; means are exact sums over counts."""
+    no layer has to fit into a task; means are exact sums over counts. The steps know a node by its place by
+    id, a number, which also breaks the ties; names and hashes are needed once."""
     own = nodes.select("id", "layer").where("id IS NOT NULL").groupBy("id").agg(F.min("layer").alias("layer"))
     if dict(nodes.dtypes)["layer"] == "string":
         number = F.element_at(F.create_map(*[F.lit(x) for i, v in enumerate(S.LAYERS) for x in (v, i)]), F.col("layer"))
         own = own.withColumn("layer", F.coalesce(number, F.lit(MIDDLE)))
-    own = cut(own.withColumn("layer", F.col("layer").cast("int")))
-    sizes = {r["layer"]: r["count"] for r in own.groupBy("layer").count().orderBy("layer").limit(1000).collect()}
+    own = own.withColumn("layer", F.col("layer").cast("int"))
+    ranked = cut(global_rank(own.withColumn("key", F.struct("layer", "id")), "key").select("id", "layer", "rank"), "zstd")
+    sizes = {r["layer"]: (r["n"], r["least"]) for r in ranked.groupBy("layer").agg(F.count("*").alias("n"), F.min("rank").alias("least")).orderBy("layer").limit(1000).collect()}
     columns = sorted(sizes)
-
-    def placed(df: DataFrame, key: str) -> DataFrame:
-        return cut(global_rank(df, key).select("id", (F.col("rank") - 1).alias("place")))
-
-    at = {c: placed(own.where(F.col("layer") == c).select("id"), "id") for c in columns}
-    ends = [own.select(F.col("id").alias(k), F.col("layer").alias(f"{k}_layer")) for k in ("src", "dst")]
-    links = cut(edges.select("src", "dst").join(ends[0], "src").join(ends[1], "dst"))
+    alone = (name_hash(F.col("id")) % BUCKETS).cast("double") / float(BUCKETS)
+    rows = {c: cut(ranked.where(F.col("layer") == c).select(F.col("rank").alias("no"), alone.alias("alone")), "zstd") for c in columns}
+    at = {c: df.select("no", (F.col("no") - sizes[c][1]).alias("place")) for c, df in rows.items()}
+    ends = [ranked.select(F.col("id").alias(k), F.col("layer").alias(f"{k}_layer"), F.col("rank").alias(f"{k}_no")) for k in ("src", "dst")]
+    links = edges.select("src", "dst").join(ends[0], "src").drop("src").join(ends[1], "dst")
+    numbers = {c: i for i, c in enumerate(columns)}
+    apart = F.abs(F.element_at(F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv]), F.col("src_layer")) - F.element_at(F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv]), F.col("dst_layer"))) if columns else F.lit(0)
+    links = cut(links.where(apart == 1).select("src_layer", "dst_layer", F.col("src_no").alias("src"), F.col("dst_no").alias("dst")), "zstd")
     for sweep in range(sweeps):
         order = columns if sweep % 2 == 0 else columns[::-1]
         here, there = ("dst", "src") if sweep % 2 == 0 else ("src", "dst")
         for ref, layer in zip(order, order[1:], strict=False):
-            near = links.where((F.col(f"{here}_layer") == layer) & (F.col(f"{there}_layer") == ref))
-            near = near.join(at[ref].withColumnRenamed("id", there), there).groupBy(F.col(here).alias("id")).agg((F.sum("place") / F.count("*")).alias("mean"))
-            alone = (name_hash(F.col("id")) % BUCKETS).cast("double") / float(BUCKETS) * float(sizes[layer])
-            row = at[layer].select("id").join(near, "id", "left").select("id", F.struct(F.coalesce("mean", alone).alias("bar"), "id").alias("key"))
-            at[layer] = placed(row, "key")
-    out = [df.select("id", F.lit(c).alias("layer"), "place") for c, df in at.items()]
-    first = own.where("false").select("id", "layer", F.lit(0).cast("long").alias("place"))
-    for df in out:
-        first = first.unionAll(df)
-    return first
+            near = links.where((F.col(f"{here}_layer") == layer) & (F.col(f"{there}_layer") == ref)).select(F.col(here).alias("no"), F.col(there).alias("to"))
+            near = near.join(at[ref].withColumnRenamed("no", "to"), "to").groupBy("no").agg((F.sum("place") / F.count("*")).alias("mean"))
+            bar = F.coalesce("mean", F.col("alone") * float(sizes[layer][0]))
+            row = rows[layer].join(near, "no", "left").select("no", F.struct(bar.alias("bar"), "no").alias("key"))
+            at[layer] = cut(global_rank(row, "key").select("no", (F.col("rank") - 1).alias("place")))
+    places = ranked.where("false").select(F.col("rank").alias("no"), F.lit(0).cast("long").alias("place"))
+    for df in at.values():
+        places = places.unionAll(df)
+    return ranked.select("id", "layer", F.col("rank").alias("no")).join(places, "no").select("id", "layer", "place")

@@ -45,13 +45,14 @@ def outside_spans(points: DataFrame, spans: DataFrame, keys: list[str], at: str,
 
 def global_rank(rows: DataFrame, key: str) -> DataFrame:
     """Adds rank (1, 2, ...) by ``key`` over all rows without one task that sees them all: range
-    partitions, local ranks, and the sizes of the partitions before."""
+    partitions, sorted each for itself, with the sizes of the partitions before."""
     from waymark.plans.lineage import cut
 
-    part = cut(rows.repartitionByRange(F.col(key)).withColumn("__p", F.spark_partition_id()))
+    # The number of a row's partition is in the upper bits, its place there in the lower 33.
+    part = cut(rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__m", F.monotonically_increasing_id()))
+    part = part.withColumns({"__p": F.shiftright("__m", 33), "__r": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__m")
     sizes = part.groupBy("__p").agg(F.count("*").alias("__n"))
     # One row per partition: its offset is the sum over those before.
     offsets = sizes.withColumn("__off", F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))
-    local = part.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
-    out = local.join(F.broadcast(offsets.select("__p", "__off")), "__p")
-    return out.withColumn("rank", (F.col("__r") + F.coalesce("__off", F.lit(0))).cast("long")).drop("__p", "__r", "__off")
+    out = part.join(F.broadcast(offsets.select("__p", "__off")), "__p")
+    return out.withColumn("rank", (F.col("__r") + 1 + F.coalesce("__off", F.lit(0))).cast("long")).drop("__p", "__r", "__off")
