@@ -16,25 +16,26 @@ MIDDLE = 3
 BUCKETS = 997
 
 
-def longest_steps(adj: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, steps, cyclic): edges on the longest path from a node to its end, by peeling: what has no
-    target left goes, level by level. Nodes that lead to a cycle have null steps; cyclic are those
-    that stay when, after that, what has no source left goes as well (the nodes on cycles, and on paths
-    from one cycle to another). Repeated edges and ids count once."""
-    edges = cut(adj.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    ids = nodes.select("id").distinct().union(edges.select("src")).union(edges.select("dst")).distinct()
-    left = cut(ids.where("id IS NOT NULL"))
-    peeled = Levels(left.limit(0).withColumn("steps", F.lit(0)))
-    steps, rest = 0, edges
-    while True:
-        ends = left.join(rest.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
-        gone = peeled.append(ends.withColumn("steps", F.lit(steps)))
-        if not peeled.n_rows:
-            break
-        hint = small(gone.select("id"))
-        left = cut(left.join(hint, "id", "left_anti"))
-        rest = cut(rest.join(hint.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+def _peeled(adj: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, steps, cyclic) as longest_steps, (id) of what has an end as a target, and (id) of the cyclic nodes.
+
+    A level reads the edges that are left once: those into what was peeled go, and only their sources
+    can be peeled next, if no edge of theirs stays. The nodes themselves are not written again."""
+    rest = adj.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
+    ids = nodes.select("id", F.lit(False).alias("out")).unionAll(rest.select("src", F.lit(True))).unionAll(rest.select("dst", F.lit(False)))
+    ends = ids.where("id IS NOT NULL").groupBy("id").agg(F.max("out").alias("out")).where("NOT out")
+    peeled = Levels(ends.select("id", F.lit(0).alias("steps")))
+    gone, steps, over_ends = peeled.all(), 0, None
+    while peeled.n_rows:
+        hint = small(gone.select(F.col("id").alias("dst")))
+        next_ = cut(rest.join(hint, "dst", "left_semi").select(F.col("src").alias("id")).distinct())
+        over_ends = next_ if over_ends is None else over_ends
+        rest = cut(rest.join(hint, "dst", "left_anti"), "zstd")
+        held = rest.join(small(next_).withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("src").alias("id")).distinct()
         steps += 1
+        gone = peeled.append(next_.join(held, "id", "left_anti").withColumn("steps", F.lit(steps)))
+    # What is left has a target that is left.
+    left = cut(rest.select(F.col("src").alias("id")).distinct())
     upstream = Levels(left.limit(0))
     core = left
     while True:
@@ -47,7 +48,15 @@ def longest_steps(adj: DataFrame, nodes: DataFrame) -> DataFrame:
     none = F.lit(None).cast("int")
     parts = [(peeled.all(), F.col("steps"), False), (upstream.all(), none, False), (core, none, True)]
     a, b, c = (df.select("id", s.alias("steps"), F.lit(cyclic).alias("cyclic")) for df, s, cyclic in parts)
-    return a.unionAll(b).unionAll(c)
+    return a.unionAll(b).unionAll(c), left.limit(0) if over_ends is None else over_ends, core
+
+
+def longest_steps(adj: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, steps, cyclic): edges on the longest path from a node to its end, by peeling: what has no
+    target left goes, level by level. Nodes that lead to a cycle have null steps; cyclic are those
+    that stay when, after that, what has no source left goes as well (the nodes on cycles, and on paths
+    from one cycle to another). Repeated edges and ids count once."""
+    return _peeled(adj, nodes)[0]
 
 
 def longest_path_layers(adj: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -55,10 +64,13 @@ def longest_path_layers(adj: DataFrame, nodes: DataFrame) -> DataFrame:
     targets, at most 5; without targets, or cyclic, it is the middle.
 
     Ends and cycles are at 3, so what has one of those as a target is at 2, and all else, whose targets
-    are at 2 or below, at 1: the layer needs one join once the cycles are known."""
-    known = cut(longest_steps(adj, nodes))
-    middle = known.where("cyclic OR steps = 0").select(F.col("id").alias("dst"))
-    near = adj.select("src", "dst").join(middle, "dst", "left_semi").select(F.col("src").alias("id"), F.lit(True).alias("near")).distinct()
+    are at 2 or below, at 1: the layer needs one join once the cycles are known. Peeling has seen
+    already which nodes have an end as a target."""
+    known, near, cyclic = _peeled(adj, nodes)
+    if cyclic.limit(1).count():
+        to = adj.select("src", "dst").join(small(cyclic.select(F.col("id").alias("dst"))), "dst", "left_semi")
+        near = cut(near.union(to.select(F.col("src").alias("id"))).where("id IS NOT NULL").distinct())
+    near = small(near).withColumn("near", F.lit(True))
     layer = F.when(F.col("cyclic") | (F.coalesce("steps", F.lit(1)) == 0), MIDDLE).when(F.col("near"), 2).otherwise(1)
     return known.join(near, "id", "left").select("id", layer.alias("layer"), "steps", "cyclic")
 
