@@ -9,8 +9,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from waymark.llm import bbit_minhash, collocations, filter_audit
+from waymark.llm import bbit_minhash, collocations, filter_audit, jaccard
+from waymark.llm.common import materialise
 
 DOCS = "doc_id long, text string, lang string, source string, rank long, mask int, n long, __id long, key string"
 
@@ -288,3 +290,58 @@ def test_links_that_only_left_out_lists_tell_are_found(spark, monkeypatch):
         rows += [(i, " ".join(words), None, None), (i + 1, " ".join(words[:-3] + ["x", "y", "z"]), None, None)]
     got = {r["doc_id"]: r["component_id"] for r in bbit_minhash.near_duplicates(documents(spark, rows)).collect()}
     assert got == {i: i - i % 2 for i in range(40)}
+
+
+def changed(rng, words, times):
+    own = list(words)
+    for at in rng.sample(range(len(own)), times):
+        own[at] = f"e{rng.randrange(10**9)}"
+    return " ".join(own)
+
+
+def test_sets_of_pairs_that_can_not_link_are_not_sent(spark, monkeypatch):
+    """Pairs of a similarity around 0.7 pass the signatures' test; their sets need not meet."""
+    rng = random.Random(12)
+    texts = []
+    for f in range(25):
+        base = [f"f{f}w{i}" for i in range(200)]
+        texts += [" ".join(base), changed(rng, base, 1)] + [changed(rng, base, 8) for _ in range(4)]
+    rows, sent, compare = list(enumerate(texts)), [], jaccard.compare_with_leader
+    monkeypatch.setattr(jaccard, "compare_with_leader", lambda rows, percent: sent.append(rows.count()) or compare(rows, percent))
+    got = bbit_minhash.near_duplicates(documents(spark, [(d, t, "en", "s") for d, t in rows]))
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == brute_components(rows, 4, 80)
+    assert 25 <= sent[0] <= 30
+
+
+def test_a_family_has_few_leaders(spark, monkeypatch):
+    """Long lists of one family are led by the set that is in most of them, whatever its number is."""
+    rng = random.Random(13)
+    base = [f"b{i}" for i in range(200)]
+    rows, sent, compare = [(i, changed(rng, base, 3 if i else 0)) for i in range(60)], [], jaccard.compare_with_leader
+    monkeypatch.setattr(jaccard, "compare_with_leader", lambda rows, percent: sent.append(rows.where("family").count()) or compare(rows, percent))
+    got = bbit_minhash.near_duplicates(documents(spark, [(d, t, "en", "s") for d, t in rows]))
+    assert {r["component_id"] for r in got.collect()} == {0}
+    assert 59 <= sent[0] <= 120
+
+
+def test_wanted_tables_too_large_to_broadcast(spark, monkeypatch):
+    """Texts that nobody asks for stay out of the shuffle; results are the same."""
+    monkeypatch.setattr(jaccard, "is_small", lambda df: False)
+    rows = list(enumerate(near_texts(3, families=2))) + [(None, "a b c d e"), (500, None)]
+    docs = documents(spark, [(d, t, "en", "s") for d, t in rows])
+    got = bbit_minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_components(rows, 4, 80)
+    many = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    wanted = materialise(spark.range(0, 5000, 100).select(F.col("id").alias("rep"), (F.col("id") + 1).alias("cls")))
+    assert sorted((r["doc_id"], r["cls"]) for r in jaccard.rows_of(many, wanted).collect()) == [(i, i + 1) for i in range(0, 5000, 100)]
+
+
+def test_fine_sketches_bound_the_difference_from_below():
+    rng = np.random.default_rng(14)
+    for n in (1, 2, 31, 500, 1500):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate((x[n // 5 :], rng.integers(0, 1 << 63, n // 4).astype(np.uint64))))
+        a, b = (jaccard.sketch(s, jaccard.FINE) for s in (x, y))
+        while len(a) != len(b):
+            a, b = (s[: len(s) // 2] ^ s[len(s) // 2 :] if len(s) == max(len(a), len(b)) else s for s in (a, b))
+        assert int(np.bitwise_count(a ^ b).sum()) <= len(np.setxor1d(x, y))

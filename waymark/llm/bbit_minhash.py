@@ -10,7 +10,8 @@
    steps too). No list gives all pairs of a large group, and none is cut off.
 3. A pair is dropped on its signatures alone if the similarity they tell is far too low: with b bits two
    unequal minima agree by chance in 1 of 2^b cases, so the similarity is (agreement - 2^-b) / (1 - 2^-b),
-   and agreement is a count of bits over the planes.
+   and agreement is a count of bits over the planes. Of the pairs that stay, sketches of two bits a
+   shingle bound the difference from below, and what is too different by that bound is dropped as well.
 4. What is left is confirmed on the full sets; links make components.
 
 How sure: sets at the threshold s agree in a band with probability s^ROWS; all bands fail with
@@ -34,7 +35,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, discard, materialise, table
-from .jaccard import CLASSES, FAMILY, Scheme, class_of, classes_of, components_of, index_entries, meetings, salted, sets_of
+from .jaccard import (
+    CLASSES, FAMILY, Scheme, class_of, classes_of, components_of, index_entries, meetings, rows_of, salted, sets_of, unseen,
+)
 from .wordhash import mix
 
 WORDS, PERCENT = 4, 80
@@ -140,17 +143,20 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def band_entries(classes: DataFrame) -> DataFrame:
-    """(key, cls, salt): the band lists' entries of classes (cls, keys)."""
+def band_entries(prof: DataFrame) -> DataFrame:
+    """(key, cls, salt): the band lists' entries of profiles (cls, keys); a task tells equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, None] = {}
         for b in batches:
-            if b.num_rows:
+            first = [i for i, c in enumerate(b.column(0).to_pylist()) if unseen(c, seen)]
+            if first:
+                b = b.take(pa.array(first))
                 of = np.repeat(b.column(0).to_numpy(), BANDS)
                 key, of, salt = salted(b.column(1).flatten().to_numpy().view(np.uint64), of)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(of), pa.array(salt)], names=["key", "cls", "salt"])
 
-    return classes.select("cls", "keys").mapInArrow(run, "key long, cls long, salt int")
+    return prof.where("cls IS NOT NULL AND doc_id IS NOT NULL").select("cls", "keys").mapInArrow(run, "key long, cls long, salt int")
 
 
 def _of_left_out_lists(met: DataFrame) -> DataFrame:
@@ -167,17 +173,16 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, fam
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     prof = materialise(signatures(docs, k))
-    classes = classes_of(prof, "bits", "keys")
-    met = materialise(meetings(band_entries(classes)))
+    classes = classes_of(prof, "bits")
+    met = materialise(meetings(band_entries(prof)))
     scheme = Scheme(percent)
     slack = [scheme.slack(g) for g in range(len(scheme.ends) - 1)]
     slack += [0] * (BAND_CLASS - len(slack)) + [SLACK]
     rest = _of_left_out_lists(met)
     if rest.limit(1).count():
         reps = materialise(classes.select("cls", "rep").join(broadcast_if_small(rest), "cls", "left_semi").select("rep"))
-        own = docs.join(broadcast_if_small(reps), docs["doc_id"] == reps["rep"], "left_semi")
-        met = met.unionByName(materialise(meetings(index_entries(own, k, percent))))
-    out = components_of(docs, prof, classes, met, slack, near_signatures, k, percent, family)
+        met = met.unionByName(materialise(meetings(index_entries(rows_of(docs, reps), k, percent))))
+    out = components_of(docs, prof, classes, met, slack, near_signatures, k, percent, family, coarse=True)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.plans.lineage import cut as materialise
-from waymark.plans.lineage import shared_dir
+from waymark.plans.lineage import is_small, shared_dir
 from waymark.plans.lineage import small as broadcast_if_small
 
-__all__ = ["ascii_lower", "broadcast_if_small", "discard", "materialise", "put", "shared_dir", "table"]
+__all__ = ["ascii_lower", "broadcast_if_small", "discard", "is_small", "materialise", "put", "shared_dir", "table"]
 
 #: The white space of the contracts: blank and the control characters 0x09 to 0x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"

@@ -13,8 +13,9 @@ Exact similarity join of the documents' word-shingle sets: two documents link wh
 3. Short lists (up to SHORT classes) give their pairs. A pair is skipped when the bit sketches of the
    two sets (each shingle flips one bit, so they differ in no more bits than the sets in shingles)
    differ too much. A longer list, as of a passage that many texts share, is left out by the sets
-   that have enough other keys. For the rest (families of similar sets) it is led by its least class:
-   every member is compared with the leaders of its lists only, and the difference is kept.
+   that have enough other keys. For the rest (families of similar sets) it is led by the class that is
+   in most such lists, so that the lists of a family have few leaders: every member is compared with
+   the leaders of its lists only, and the difference is kept.
 4. Derived answers. For members x, y of a leader L with differences Dx, Dy (of which mx, my shingles
    are missing from L) and c common ones, |x & y| = |L| - mx - my + c: the sets themselves are not
    needed any more. Without a common difference, x and y can only link if both link with L, and so
@@ -44,7 +45,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, discard, materialise, table
+from .collocations import bloom
+from .common import broadcast_if_small, discard, is_small, materialise, table
 from .components import connected_components
 from .wordhash import BLOCK, batches_of, hash_words, mix, shingle
 
@@ -52,6 +54,8 @@ WORDS, PERCENT = 3, 90
 FAMILY = 4096
 #: Lists up to this many entries give all their pairs. Equal sets that a task remembers.
 SHORT, SEEN = 12, 100_000
+#: Bits a shingle of the sketches that are made of candidates only.
+FINE = 2
 #: Ratio of a size class's ends. A power of two above the number of classes.
 RATIO, CLASSES = 2, 64
 
@@ -145,10 +149,10 @@ def class_of(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity bits of a set, as 64-bit words: a power of two of bits, at least the set's size. Halves
-    of a sketch folded by exclusive or give the sketch of half the length."""
-    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+def sketch(s: np.ndarray, each: int = 1) -> np.ndarray:
+    """Parity bits of a set, as 64-bit words: a power of two of bits, at least ``each`` times the set's
+    size. Halves of a sketch folded by exclusive or give the sketch of half the length."""
+    bits = max(64, 1 << (each * len(s) - 1).bit_length()) if len(s) else 64
     where, odd = np.unique(mix(s ^ np.uint64(0x3C3C3C3C)) % np.uint64(bits), return_counts=True)
     where = where[odd % 2 == 1]
     out = np.zeros(bits // 64, dtype=np.uint64)
@@ -181,6 +185,16 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
     )
 
 
+def unseen(c: int, seen: dict[int, None]) -> bool:
+    """Whether the class is none of the last SEEN ones; it is remembered."""
+    if c in seen:
+        return False
+    seen[c] = None
+    if len(seen) > SEEN:
+        seen.pop(next(iter(seen)))
+    return True
+
+
 def salted(key: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A batch's entries with their salts. A key with more than SHORT entries in one batch is hot: these
     get a salt of their own, so that no task holds all entries of a hot key, and one entry of salt -1
@@ -209,13 +223,9 @@ def index_entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
             keys, cls = [], []
             for s in sets_of(b.column(0).to_pylist(), k):
                 c = class_of(s)[0] if len(s) else None
-                if c is None or c in seen:
-                    continue
-                seen[c] = None
-                if len(seen) > SEEN:
-                    seen.pop(next(iter(seen)))
-                keys.append(scheme.keys(s))
-                cls.append(c)
+                if c is not None and unseen(c, seen):
+                    keys.append(scheme.keys(s))
+                    cls.append(c)
             if not sum(map(len, keys)):
                 continue
             key, of, salt = salted(np.concatenate(keys), np.repeat(np.array(cls, np.int64), [len(x) for x in keys]))
@@ -417,16 +427,82 @@ def classes_of(prof: DataFrame, *held: str) -> DataFrame:
     return classes
 
 
+def rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs (doc_id, text) joined with a written table wanted (rep, ...) of some of their ids. A wanted
+    table that is too large to broadcast is joined by shuffle; a Bloom filter of its ids, of 16 MB at
+    most, keeps the texts that nobody asks for out of that."""
+    if is_small(wanted):
+        return docs.join(F.broadcast(wanted), docs["doc_id"] == wanted["rep"])
+    held = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.col("rep").alias("key")).distinct()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(held.value.has(b.column(0).to_numpy().view(np.uint64))))
+
+    asked = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+    return asked.join(wanted, asked["doc_id"] == wanted["rep"])
+
+
+def _by_fine_sketches(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The families' rows of pairs, and those others that sketches of FINE bits a shingle leave a chance.
+    The sketches bound the difference from below, so no link goes."""
+    wanted = pairs.where("NOT family")
+    wanted = materialise(wanted.select("cls", "rep").union(wanted.select("leader", "lead_rep")).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = list(sets_of(b.column(1).to_pylist(), k))
+            same = pa.array([bool(len(s)) and class_of(s)[0] == c.as_py() for s, c in zip(sets, b.column(0), strict=True)], pa.bool_())
+            bits = pa.array([sketch(s, FINE).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), bits], names=["cls", "n", "bits"]).filter(same)
+
+    made = rows_of(docs, wanted).select("cls", "text").mapInArrow(run, "cls long, n long, bits array<long>")
+    made = materialise(made.groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
+    own = made.select("cls", F.col("n").alias("n1"), F.col("bits").alias("b1"))
+    lead = made.select(F.col("cls").alias("leader"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
+    near = pairs.where("NOT family").join(own, "cls").join(lead, "leader").where(_near_sketches("b1", "b2", "n1", "n2", percent))
+    out = materialise(pairs.where("family").unionByName(near.select(pairs.columns)))
+    discard(pairs, wanted, made)
+    return out
+
+
+def _sets_of_pairs(docs: DataFrame, pairs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(leader, cls, family, own) of each pair and (leader, lead) of each leader: the sets, made again
+    from the texts. A set goes to its leaders from the task that makes it, so it is written no more
+    often than they need it."""
+    ends = pairs.groupBy("cls", "rep").agg(F.collect_list(F.struct("leader", "family")).alias("to"))
+    ends, leads = materialise(ends), materialise(pairs.select(F.col("leader").alias("cls"), F.col("lead_rep").alias("rep")).distinct())
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = list(sets_of(b.column(1).to_pylist(), k))
+            same = pa.array([bool(len(s)) and class_of(s)[0] == c.as_py() for s, c in zip(sets, b.column(0), strict=True)], pa.bool_())
+            out = [b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), *b.columns[2:]]
+            yield pa.RecordBatch.from_arrays(out, names=["cls", "own", *b.schema.names[2:]]).filter(same)
+
+    own = rows_of(docs, ends).select("cls", "text", "to").mapInArrow(make, "cls long, own binary, to array<struct<leader: long, family: boolean>>")
+    lead = rows_of(docs, leads).select("cls", "text").mapInArrow(make, "cls long, own binary")
+    return (
+        own.select("cls", "own", F.explode("to").alias("t")).select("t.leader", "cls", "t.family", "own"),
+        lead.groupBy(F.col("cls").alias("leader")).agg(F.first("own").alias("lead")),
+    )
+
+
 def components_of(docs: DataFrame, prof: DataFrame, classes: DataFrame, met: DataFrame, slack: list[int], near: Callable[..., Column],
-                  k: int, percent: int, family: int) -> DataFrame:
+                  k: int, percent: int, family: int, coarse: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of all profiles, from the lists' meetings. A set leaves out its
     long lists of a size class if they are within ``slack``; ``near`` says from what two classes keep
-    (bits and sizes) whether a pair of a short list has a chance. All links are confirmed on full sets."""
+    (bits and sizes) whether a pair of a short list has a chance. Where that is ``coarse``, finer sketches
+    are asked, too. All links are confirmed on full sets. The tables of prof and met are deleted."""
+    slim = materialise(prof.select("doc_id", "n", "cls"))
+    discard(prof)
+    prof = slim
     slack = F.array(*(F.lit(x) for x in slack))
     listed = met.where("key IS NOT NULL").select("key", F.col("a").alias("cls"), F.col("key").bitwiseAND(CLASSES - 1).cast("int").alias("g")).distinct()
     listed = listed.withColumn("many", F.count("*").over(Window.partitionBy("cls", "g"))).where(F.col("many") > F.get(slack, F.col("g")))
-    listed = materialise(listed.select("key", "cls"))
-    leaders = materialise(listed.groupBy("key").agg(F.min("cls").alias("leader"), F.count("*").alias("c")).where("c > 1").select("key", "leader"))
+    listed = materialise(listed.select("key", "cls", "many"))
+    leaders = listed.groupBy("key").agg(F.max(F.struct("many", "cls"))["cls"].alias("leader"), F.count("*").alias("c"))
+    leaders = materialise(leaders.where("c > 1").select("key", "leader"))
     family_rows = listed.join(broadcast_if_small(leaders), "key").where("leader != cls")
     cand = met.where("key IS NULL").select(F.col("a").alias("leader"), F.col("b").alias("cls"), F.lit(False).alias("family")).unionByName(
         family_rows.select("leader", "cls", F.lit(True).alias("family"))
@@ -441,27 +517,13 @@ def components_of(docs: DataFrame, prof: DataFrame, classes: DataFrame, met: Dat
         .select("leader", "cls", "family", "rep", "lead_rep")
     )
 
-    # The sets of the classes in question, made again from the texts.
-    wanted = materialise(
-        pairs.select("cls", "rep").union(pairs.select(F.col("leader").alias("cls"), F.col("lead_rep").alias("rep"))).distinct()
-    )
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = list(sets_of(b.column(1).to_pylist(), k))
-            same = pa.array([bool(len(s)) and class_of(s)[0] == c.as_py() for s, c in zip(sets, b.column(0), strict=True)], pa.bool_())
-            out = pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "own"])
-            yield out.filter(same)
-
-    texts = docs.join(broadcast_if_small(wanted), docs["doc_id"] == wanted["rep"]).select("cls", "text")
-    sets = materialise(texts.mapInArrow(make, "cls long, own binary"))
-    lead = sets.select(F.col("cls").alias("leader"), F.col("own").alias("lead"))
-    compared = materialise(
-        compare_with_leader(pairs.select("leader", "cls", "family").join(sets, "cls").join(lead, "leader"), percent)
-    )
+    if coarse:
+        pairs = _by_fine_sketches(docs, pairs, k, percent)
+    own, lead = _sets_of_pairs(docs, pairs, k)
+    compared = materialise(compare_with_leader(own.join(lead, "leader"), percent))
     links = compared.where("linked").select(F.col("leader").alias("a"), F.col("cls").alias("b"))
     links = materialise(links.union(_derived_links(compared.where("family"), percent, family)))
-    discard(cand, pairs, wanted, sets, compared)
+    discard(cand, pairs, compared)
 
     comps = connected_components(links)
     reps = classes.select("cls", "rep")
