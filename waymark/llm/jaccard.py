@@ -469,7 +469,8 @@ def _by_fine_sketches(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -
 def _sets_of_pairs(docs: DataFrame, pairs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(leader, cls, family, own) of each pair and (leader, lead) of each leader: the sets, made again
     from the texts. A set goes to its leaders from the task that makes it, so it is written no more
-    often than they need it."""
+    often than they need it. The leaders' own are a table, so that a leader with very many rows can be
+    split in the join."""
     ends = pairs.groupBy("cls", "rep").agg(F.collect_list(F.struct("leader", "family")).alias("to"))
     ends, leads = materialise(ends), materialise(pairs.select(F.col("leader").alias("cls"), F.col("lead_rep").alias("rep")).distinct())
 
@@ -482,10 +483,8 @@ def _sets_of_pairs(docs: DataFrame, pairs: DataFrame, k: int) -> tuple[DataFrame
 
     own = rows_of(docs, ends).select("cls", "text", "to").mapInArrow(make, "cls long, own binary, to array<struct<leader: long, family: boolean>>")
     lead = rows_of(docs, leads).select("cls", "text").mapInArrow(make, "cls long, own binary")
-    return (
-        own.select("cls", "own", F.explode("to").alias("t")).select("t.leader", "cls", "t.family", "own"),
-        lead.groupBy(F.col("cls").alias("leader")).agg(F.first("own").alias("lead")),
-    )
+    lead = materialise(lead.groupBy(F.col("cls").alias("leader")).agg(F.first("own").alias("lead")))
+    return own.select("cls", "own", F.explode("to").alias("t")).select("t.leader", "cls", "t.family", "own"), lead
 
 
 def components_of(docs: DataFrame, prof: DataFrame, classes: DataFrame, met: DataFrame, slack: list[int], near: Callable[..., Column],
@@ -523,7 +522,7 @@ def components_of(docs: DataFrame, prof: DataFrame, classes: DataFrame, met: Dat
     compared = materialise(compare_with_leader(own.join(lead, "leader"), percent))
     links = compared.where("linked").select(F.col("leader").alias("a"), F.col("cls").alias("b"))
     links = materialise(links.union(_derived_links(compared.where("family"), percent, family)))
-    discard(cand, pairs, compared)
+    discard(cand, pairs, lead, compared)
 
     comps = connected_components(links)
     reps = classes.select("cls", "rep")
