@@ -38,7 +38,7 @@ from .common import broadcast_if_small, discard, materialise, table
 from .jaccard import (
     CLASSES, FAMILY, Scheme, class_of, classes_of, components_of, index_entries, meetings, rows_of, salted, sets_of, unseen,
 )
-from .wordhash import mix
+from .wordhash import mix, parts
 
 WORDS, PERCENT = 4, 80
 BANDS, ROWS, BITS = 48, 4, 4
@@ -123,7 +123,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, cls, chk, bits, keys): size, class, packed signature and band keys of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             sets = list(sets_of(b.column(1).to_pylist(), k))
             full = [s for s in sets if len(s)]
             least = minima(full)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .wordhash import BLOCK, batches_of, hash_words, shingle
+from .wordhash import BLOCK, batches_of, hash_words, parts, shingle
 
 WORDS, THRESHOLD, RADIUS, BLOCKS, MAX_ITEMS = 5, 0.8, 19, 5, 50_000
 _PUNCTUATION = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
@@ -216,7 +216,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts, whole=whole) -> Iterator[pa.RecordBatch]:
             index = Benchmark(ids, texts, radius, blocks, threshold, **whole)
-            for b in batches:
+            for b in parts(batches, 1):
                 doc = b.column(0)
                 rows = [
                     (doc[k].as_py(), int(index.ids[i]), s, sim, d, n)
@@ -244,7 +244,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts, whole=whole) -> Iterator[pa.RecordBatch]:
             index = Benchmark(ids, texts, radius, blocks, threshold, **whole)
-            for b in batches:
+            for b in parts(batches, at):
                 clean = np.ones(b.num_rows, dtype=bool)
                 clean[[k for k, _ in index.search(b.column(at).to_pylist())]] = False
                 yield b.filter(pa.array(clean))

@@ -48,12 +48,14 @@ from pyspark.sql import functions as F
 from .collocations import bloom
 from .common import broadcast_if_small, discard, is_small, materialise, table
 from .components import connected_components
-from .wordhash import BLOCK, batches_of, hash_words, mix, shingle
+from .wordhash import BLOCK, batches_of, hash_words, mix, parts, shingle
 
 WORDS, PERCENT = 3, 90
 FAMILY = 4096
 #: Lists up to this many entries give all their pairs. Equal sets that a task remembers.
 SHORT, SEEN = 12, 100_000
+#: Index entries that a task looks at together for hot keys, and that it sends at once.
+ENTRIES, SENT = 1 << 20, 1 << 16
 #: Bits a shingle of the sketches that are made of candidates only.
 FINE = 2
 #: Ratio of a size class's ends. A power of two above the number of classes.
@@ -164,7 +166,7 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, cls, chk, bits); cls is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             n, cls, chk, bits, at = [], [], [], [], [0]
             for s in sets_of(b.column(1).to_pylist(), k):
                 n.append(len(s))
@@ -196,15 +198,15 @@ def unseen(c: int, seen: dict[int, None]) -> bool:
 
 
 def salted(key: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A batch's entries with their salts. A key with more than SHORT entries in one batch is hot: these
+    """Entries with their salts. A key with more than SHORT of those given at once is hot: these
     get a salt of their own, so that no task holds all entries of a hot key, and one entry of salt -1
     tells the key's own task."""
     values, counts = np.unique(key, return_counts=True)
     hot = values[counts > SHORT]
     salt = np.zeros(len(key), dtype=np.int32)
     if len(hot):
-        at = np.isin(key, hot)
-        # One salt for a key and batch, from the batch's first set; 0 and -1 have their meanings.
+        at = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+        # One salt for a key and call, from the first set; 0 and -1 have their meanings.
         own = mix(key[at] ^ mix(of[:1].view(np.uint64)))
         salt[at] = (own >> np.uint64(34)).astype(np.int32) | 1
         first = np.flatnonzero(at)[np.unique(key[at], return_index=True)[1]]
@@ -219,17 +221,22 @@ def index_entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent)
         seen: dict[int, None] = {}
-        for b in batches:
-            keys, cls = [], []
-            for s in sets_of(b.column(0).to_pylist(), k):
+        keys, cls, held = [], [], 0
+        for b in itertools.chain(parts(batches, 0), [None]):
+            for s in sets_of(b.column(0).to_pylist(), k) if b is not None else ():
                 c = class_of(s)[0] if len(s) else None
                 if c is not None and unseen(c, seen):
                     keys.append(scheme.keys(s))
                     cls.append(c)
-            if not sum(map(len, keys)):
-                continue
-            key, of, salt = salted(np.concatenate(keys), np.repeat(np.array(cls, np.int64), [len(x) for x in keys]))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(of), pa.array(salt)], names=["key", "cls", "salt"])
+                    held += len(keys[-1])
+            if held >= ENTRIES or (b is None and held):
+                of = np.repeat(np.array(cls, np.int64), [len(x) for x in keys])
+                key = np.concatenate(keys)
+                keys, cls, held = [], [], 0
+                key, of, salt = salted(key, of)
+                for i in range(0, len(key), SENT):
+                    some = slice(i, i + SENT)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(of[some]), pa.array(salt[some])], names=["key", "cls", "salt"])
 
     return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "key long, cls long, salt int")
 
@@ -315,7 +322,7 @@ def compare_with_leader(rows: DataFrame, percent: int) -> DataFrame:
     delta, family); only in families are the differences kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 2, 3):
             linked, size, missing, delta, at = [], [], [], [], [0]
             for lead, own, family in zip(b.column(2), b.column(3), b.column(4).to_pylist(), strict=True):
                 x, y = np.frombuffer(lead.as_py(), np.uint64), np.frombuffer(own.as_py(), np.uint64)
@@ -450,7 +457,7 @@ def _by_fine_sketches(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -
     wanted = materialise(wanted.select("cls", "rep").union(wanted.select("leader", "lead_rep")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             sets = list(sets_of(b.column(1).to_pylist(), k))
             same = pa.array([bool(len(s)) and class_of(s)[0] == c.as_py() for s, c in zip(sets, b.column(0), strict=True)], pa.bool_())
             bits = pa.array([sketch(s, FINE).view(np.int64) for s in sets], pa.list_(pa.int64()))
@@ -475,7 +482,7 @@ def _sets_of_pairs(docs: DataFrame, pairs: DataFrame, k: int) -> tuple[DataFrame
     ends, leads = materialise(ends), materialise(pairs.select(F.col("leader").alias("cls"), F.col("lead_rep").alias("rep")).distinct())
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             sets = list(sets_of(b.column(1).to_pylist(), k))
             same = pa.array([bool(len(s)) and class_of(s)[0] == c.as_py() for s, c in zip(sets, b.column(0), strict=True)], pa.bool_())
             out = [b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), *b.columns[2:]]

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .wordhash import parts
 
 BITS, ORDERS = 16, 3
 PER_LANG, FIT_ROWS, LANDMARKS, RIDGE = 300, 2400, 192, 1e-2
@@ -126,7 +127,7 @@ def identify(docs: DataFrame, folds: int = FOLDS, model=None) -> DataFrame:
     docs = docs.select(*keep)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, "text"):
             texts = b.column(b.schema.names.index("text"))
             rows, sizes, which = [], [], []
             pred, best = [UNDETERMINED] * len(texts), np.zeros(len(texts))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 20
+#: Bytes that a row counts besides its values, in parts().
+ROW = 512
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -117,3 +123,15 @@ def batches_of(items: list, sizes: list[int], most: int = BLOCK):
             j += 1
         yield i, j
         i = j
+
+
+def parts(batches: Iterable[pa.RecordBatch], *wide: int | str, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices of at most about ``most`` bytes in the columns ``wide`` (single
+    longer rows alone). Spark's batches have so many rows, whatever their length; what a worker makes of
+    one at a time and sends back has a bound in bytes this way."""
+    for b in batches:
+        sizes = np.full(b.num_rows, ROW, dtype=np.int64)
+        for c in wide:
+            sizes += pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False)
+        for i, j in batches_of(sizes, sizes.tolist(), most):
+            yield b.slice(i, j - i)
