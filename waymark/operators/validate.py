@@ -38,13 +38,14 @@ def issues(nodes: DataFrame, edges: DataFrame, unresolved: DataFrame, stale: Dat
         F.lit(sev).alias("severity"), F.lit(cat).alias("category"), msg.alias("message"), id_.alias("id"),
         file.cast("string").alias("file"), line.cast("int").alias("line"),
     ]
-    ids = nodes.select(c("id").alias("__s")).distinct()
+    gone = missing(edges, nodes, "src", "dst")
+    no_src = edges.join(gone, c("src") == c("__id"), "left").where(c("src").isNull() | c("__id").isNotNull())
     dup = nodes.groupBy("id").count().where(c("count") > 1)
-    flagged = with_placeholder(edges, nodes)
+    flagged = with_placeholder(edges, nodes, gone)
     no_file = c("file").isNull() | (c("file") == "") | (c("confidence") == "UNKNOWN")
     parts = [
         dup.select(*cols("HIGH", "validation", F.lit("duplicate node id"), c("id"), none, none)),
-        edges.join(ids, c("src") == c("__s"), "left_anti").select(*cols("HIGH", "validation", F.concat(F.lit("edge with unknown src "), "type"), c("src"), c("file"), c("line"))),
+        no_src.select(*cols("HIGH", "validation", F.concat(F.lit("edge with unknown src "), "type"), c("src"), c("file"), c("line"))),
         flagged.where(~c("dst_exists") & ~c("placeholder")).select(*cols("HIGH", "validation", F.concat(F.lit("edge with unknown dst "), "type"), c("dst"), c("file"), c("line"))),
         nodes.where(F.coalesce(no_file, F.lit(False))).select(*cols("MEDIUM", "validation", F.lit("node without evidence"), c("id"), c("file"), c("line"))),
         unresolved.select(*cols("LOW", "unresolved", F.lit("unresolved reference"), c("ref"), none, none)),
