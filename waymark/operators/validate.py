@@ -21,9 +21,10 @@ def malformed_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionAll(e)
 
 
-def broken_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose source is missing, or whose target is missing and no placeholder."""
-    gone = missing(edges, nodes, "src", "dst")
+def broken_edges(edges: DataFrame, nodes: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """Edges whose source is missing, or whose target is missing and no placeholder. ``gone``: the missing
+    ids of both ends, where they are known."""
+    gone = missing(edges, nodes, "src", "dst") if gone is None else gone
     here, there = (gone.select(F.col("__id").alias(k)) for k in ("__s", "__d"))
     rows = edges.join(here, F.col("src") == F.col("__s"), "left").join(there, F.col("dst") == F.col("__d"), "left")
     dst = F.col("dst")
@@ -60,7 +61,8 @@ def issues(nodes: DataFrame, edges: DataFrame, unresolved: DataFrame, stale: Dat
 def validate(nodes: DataFrame, edges: DataFrame, stale: DataFrame | None = None) -> DataFrame:
     """(check, n): findings per check."""
     c = F.col
-    broken = broken_edges(edges, nodes)
+    gone = missing(edges, nodes, "src", "dst")
+    broken = broken_edges(edges, nodes, gone)
     checks = {
         "unknown_kind": nodes.where(~c("kind").isin(*S.NODE_KINDS)),
         "unknown_type": edges.where(~c("type").isin(*S.EDGE_TYPES)),
@@ -68,7 +70,7 @@ def validate(nodes: DataFrame, edges: DataFrame, stale: DataFrame | None = None)
         "duplicate_id": nodes.groupBy("id").count().where(c("count") > 1),
         "broken_edge": broken,
         "no_evidence": nodes.where(F.coalesce(c("file").isNull() | (c("file") == "") | (c("confidence") == "UNKNOWN"), F.lit(False))),
-        "placeholder_edge": with_placeholder(edges, nodes).where("placeholder"),
+        "placeholder_edge": with_placeholder(edges, nodes, gone).where("placeholder"),
         "low_confidence": nodes.where("confidence = 'LOW'").select("id").unionAll(edges.where("confidence = 'LOW'").select("src")),
     }
     if stale is not None:
